@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from disputa.llm import bpe, langid
+from disputa.llm import bpe, langid, quality
 
 QUERIES = {
+    "op4_quality": quality.op4_quality,
     "op5_language_id": langid.op5_language_id,
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
