@@ -7,7 +7,7 @@ width for each coefficient and is read as an array; all other scans are read bit
 
 ``encode`` stores bytes losslessly in the format's unit, the quantised coefficient: a byte b is b - 128 as a block's
 first coefficient and 256 + b as any other, so the quantisation tables are all 1. Its scans are: first coefficients
-without their last bit; coefficients 1-5 without their last bit; 6-63; the last bits of both.
+without their last bit; luma 1-5 without their last bit; luma 6-63; chroma 1-63; the last bits of the first two.
 
 Defined results: an empty or null payload is stored as no blocks but one; repeated rows give equal files; a file that
 can't be read raises ValueError.
@@ -199,32 +199,30 @@ def _refined_whole(scan: Scan, block: np.ndarray, data: bytes) -> bool:
     return True
 
 
+_SHIFTS = 8 - np.arange(8, dtype=np.int32)
+
+
 def _first_fast(scan: Scan, parts: np.ndarray, blocks: np.ndarray, data: bytes) -> bool:
     """Reads first coefficients: symbols at all bits at once, then a walk from one to the next."""
     if scan.first or scan.last or scan.high:
         return False
-    bits = np.unpackbits(np.concatenate([np.frombuffer(data, np.uint8), np.full(8, 255, np.uint8)])).astype(np.int64)
-    tables = {id(dc) for _, dc, _ in scan.parts}
-    if len(tables) != 1:
+    if len({id(dc) for _, dc, _ in scan.parts}) != 1:
         return False
-    window = np.zeros(len(bits) - 16, np.int64)
-    for k in range(16):
-        window = window << 1 | bits[k : k + len(window)]
+    raw = np.full(len(data) + 4, 255, np.int32)
+    raw[:-4] = np.frombuffer(data, np.uint8)
+    window = ((raw[:-2] << 16 | raw[1:-1] << 8 | raw[2:])[:, None] >> _SHIFTS & 0xFFFF).reshape(-1)
     got = scan.parts[0][1].look[window]
-    size, length = got >> 5, got & 31
-    hop = np.where(got < 0, 0, size + length).tolist()
+    hop = np.where(got < 0, 0, (got >> 5) + (got & 31)).tolist()
     at, where = 0, []
     for _ in range(len(blocks)):
         if at >= len(hop) or not hop[at]:
             return False
         where.append(at)
         at += hop[at]
-    where = np.array(where, np.int64)
-    size, begin = size[where], where + length[where]
-    value = np.zeros(len(where), np.int64)
-    for k in range(16):
-        on = size > k
-        value[on] = value[on] << 1 | bits[begin[on] + k]
+    if at > 8 * len(data):
+        return False
+    size, begin = got[where] >> 5, np.array(where) + (got[where] & 31)
+    value = window[begin] >> (16 - size)
     value = np.where((size > 0) & (value < (1 << np.maximum(size - 1, 0))), value - (1 << size) + 1, value)
     for k in range(len(scan.parts)):
         own = np.flatnonzero(parts == k)
@@ -391,20 +389,23 @@ def _basis() -> np.ndarray:
 BASIS = _basis()
 
 
-def samples(component: Component, quant: np.ndarray) -> np.ndarray:
-    """The component's plane of 8-bit samples."""
-    high, wide, _ = component.blocks.shape
-    plane = (component.blocks.reshape(-1, 64) * quant).astype(np.float64) @ BASIS
-    plane = np.clip(np.floor(plane / (1 << 14) + 128.5), 0, 255).astype(np.uint8)
-    return plane.reshape(high, wide, 8, 8).transpose(0, 2, 1, 3).reshape(high * 8, wide * 8)
+def samples(image: Image) -> list[np.ndarray]:
+    """Each component's plane of 8-bit samples, all from one product with the basis."""
+    plane = np.concatenate([c.blocks.reshape(-1, 64) * image.quant[c.quant] for c in image.components]).astype(np.float64) @ BASIS
+    plane = np.clip(np.floor(plane * (1 / (1 << 14)) + 128.5), 0, 255).astype(np.uint8)
+    out, at = [], 0
+    for c in image.components:
+        high, wide, _ = c.blocks.shape
+        out.append(plane[at : at + high * wide].reshape(high, wide, 8, 8).transpose(0, 2, 1, 3).reshape(high * 8, wide * 8))
+        at += high * wide
+    return out
 
 
 def to_rgb(image: Image) -> np.ndarray:
     """The (height, width, 3) tensor of bytes; a grey image has three equal channels."""
     mh, mv = image.most
     planes = []
-    for c in image.components:
-        plane = samples(c, image.quant[c.quant])
+    for c, plane in zip(image.components, samples(image)):
         for axis, times in ((0, mv // c.v), (1, mh // c.h)):
             if times > 1:
                 plane = np.repeat(plane, times, axis)
@@ -428,8 +429,8 @@ def _table(kind: int, ident: int, length: int, symbols: list[int]) -> bytes:
     return bytes([kind << 4 | ident, *(len(symbols) if k == length else 0 for k in range(1, 17)), *symbols])
 
 
-#: First coefficients: ten sizes of 4 bits. Others: one code of 1 bit for size 8 (1-5) or 9 (6-63), fifteen of 4 bits for runs.
-_TABLE_BYTES = b"".join(_segment(0xC4, _table(*x)) for x in ((0, 0, 4, list(range(10))), (1, 0, 1, [8]), (1, 1, 1, [9]), (1, 2, 4, [k << 4 for k in range(15)])))
+#: First coefficients: ten sizes of 4 bits. Others: one code of 1 bit for size 8 (luma 1-5) or 9, fifteen of 4 bits for runs.
+_TABLE_BYTES = _segment(0xC4, b"".join(_table(*x) for x in ((0, 0, 4, list(range(10))), (1, 0, 1, [8]), (1, 1, 1, [9]), (1, 2, 4, [k << 4 for k in range(15)]))))
 _QUANT = _segment(0xDB, bytes([0]) + bytes([1] * 64))
 _NOTE = b"bytes\0"
 
@@ -478,7 +479,6 @@ def encode(payload: bytes) -> bytes:
     data[: len(payload)] = np.frombuffer(payload, np.uint8)
     data = data.reshape(-1, 64)
     n = across * down
-    cuts = [(0, 4 * n), (4 * n, 5 * n), (5 * n, 6 * n)]
     out = [b"\xff\xd8", _segment(0xE9, _NOTE + struct.pack(">Q", len(payload))), _QUANT, _segment(0xC2, struct.pack(">BHHB", 8, down * 16, across * 16, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])), _TABLE_BYTES]
     # First coefficients, without the last bit, in units of four luma and two chroma blocks.
     first = data[:, 0].astype(np.int32) - 128
@@ -495,16 +495,15 @@ def encode(payload: bytes) -> bytes:
     scan = lambda parts, a, b, h, low: _segment(0xDA, bytes([len(parts), *(x for c, t in parts for x in (c, t)), a, b, h << 4 | low]))
     every = [(1, 0), (2, 0), (3, 0)]
     out += [scan(every, 0, 0, 0, 1), _packed(wide[keep])]
-    bits = np.unpackbits(data[:, 1:6].reshape(-1)).reshape(len(data), 5, 8)
-    low = np.zeros((len(data), 5, 9), np.uint8)
+    luma = data[: 4 * n]
+    bits = np.unpackbits(luma[:, 1:6].reshape(-1)).reshape(len(luma), 5, 8)
+    low = np.zeros((len(luma), 5, 9), np.uint8)
     low[..., 1], low[..., 2:] = 1, bits[..., :7]
-    for k, (a, b) in enumerate(cuts):
-        out += [scan([(k + 1, 0)], 1, 5, 0, 1), _packed(low[a:b].reshape(-1))]
-    for k, (a, b) in enumerate(cuts):
-        out += [scan([(k + 1, 1)], 6, 63, 0, 0), _tens(data[a:b, 6:].reshape(-1))]
+    out += [scan([(1, 0)], 1, 5, 0, 1), _packed(low.reshape(-1)), scan([(1, 1)], 6, 63, 0, 0), _tens(luma[:, 6:].reshape(-1))]
+    for k in (2, 3):
+        out += [scan([(k, 1)], 1, 63, 0, 0), _tens(data[(k + 2) * n : (k + 3) * n, 1:].reshape(-1))]
     out += [scan(every, 0, 0, 1, 0), _packed((mixed & 1).astype(np.uint8).reshape(-1))]
-    for k, (a, b) in enumerate(cuts):
-        out += [scan([(k + 1, 2)], 1, 5, 1, 0), _packed(_last_bits(np.ascontiguousarray(bits[a:b, :, 7]).reshape(-1), 5))]
+    out += [scan([(1, 2)], 1, 5, 1, 0), _packed(_last_bits(np.ascontiguousarray(bits[..., 7]).reshape(-1), 5))]
     return b"".join(out) + b"\xff\xd9"
 
 
