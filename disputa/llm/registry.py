@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from disputa.llm import bpe, jpeg, langid, lm, quality
+from disputa.llm import bpe, html, jpeg, langid, lm, quality
 
 QUERIES = {
+    "op9_main_text": html.op9_main_text,
     "op8_progressive_jpeg": jpeg.op8_progressive_jpeg,
     "op7_gru_scores": lm.op7_gru_scores,
     "op4_quality": quality.op4_quality,
