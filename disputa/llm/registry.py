@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from disputa.llm import bpe, html, jpeg, langid, lm, quality
+from disputa.llm import bpe, chat, html, jpeg, langid, lm, quality
 
 QUERIES = {
+    "op3_prefix_targets": chat.op3_prefix_targets,
     "op9_main_text": html.op9_main_text,
     "op8_progressive_jpeg": jpeg.op8_progressive_jpeg,
     "op7_gru_scores": lm.op7_gru_scores,
@@ -13,4 +14,4 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {**chat.ORACLES}
