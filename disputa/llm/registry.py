@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from disputa.llm import bpe, chat, html, jpeg, langid, lm, quality
+from disputa.llm import bpe, chat, html, jpeg, langid, lm, mixing, quality
 
 QUERIES = {
+    "op2_temperature_mix": mixing.op2_temperature_mix,
     "op3_prefix_targets": chat.op3_prefix_targets,
     "op9_main_text": html.op9_main_text,
     "op8_progressive_jpeg": jpeg.op8_progressive_jpeg,
