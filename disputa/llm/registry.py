@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from disputa.llm import bpe, chat, html, jpeg, langid, lm, mixing, neardup_vectors, quality
+from disputa.llm import bpe, chat, html, jpeg, langid, lm, mixing, neardup_texts, neardup_vectors, quality
 
 QUERIES = {
+    "op1_ngram_jaccard": neardup_texts.op1_ngram_jaccard,
     "op6_vector_neardup": neardup_vectors.op6_vector_neardup,
     "op2_temperature_mix": mixing.op2_temperature_mix,
     "op3_prefix_targets": chat.op3_prefix_targets,
