@@ -372,6 +372,24 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids",
     return encoded.select(*keep).mapInArrow(run, schema)
 
 
+def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, source, n_tokens, token_ids, decoded_sha256) of (doc_id, source, text) rows, the digest being of the decoded ids."""
+    path = path or vocabulary_path()
+    names = ["doc_id", "source", "n_tokens", "token_ids", "decoded_sha256"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path)
+        for batch in batches:
+            for part in steps(batch):
+                found, by_text, _ = own.encode(part.column("text"))
+                data = own.decode(found)
+                at_byte = np.concatenate(([0], np.cumsum(own.lengths[found])))[by_text].tolist()
+                decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at_byte, at_byte[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("source").cast(pa.string()), pa.array(np.diff(by_text), pa.int64()), pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(found, pa.int32())), pa.array(decoded)], names=names)
+
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, token_ids array<int>, decoded_sha256 string")
+
+
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 

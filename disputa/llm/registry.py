@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from disputa.llm import bpe, chat, html, jpeg, langid, lm, mixing, neardup_texts, neardup_vectors, quality
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_ngram_jaccard": neardup_texts.op1_ngram_jaccard,
     "op6_vector_neardup": neardup_vectors.op6_vector_neardup,
     "op2_temperature_mix": mixing.op2_temperature_mix,
@@ -17,4 +19,4 @@ QUERIES = {
     "op10_byte_bpe": bpe.op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {**chat.ORACLES}
+ORACLES: dict[str, str] = chat.ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
