@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from disputa.functions import vocab
 from disputa.functions.graph import substitution_basis
 from disputa.operators.assign import bipartite_match
+from disputa.operators.passes import both_sides, match_in_passes
 from disputa.operators.stats import draw
 
 N = len(vocab.PARAMETERS)
@@ -44,21 +45,10 @@ def features(matching: DataFrame, variant_props: DataFrame, reference_props: Dat
     m = matching.groupBy(KEY).agg(F.count("*").alias("matched"), *(F.sum(x).alias(f"h{i}") for i, x in enumerate(h)))
     to = lambda end: matching.select(KEY, F.col("a").alias(end), F.col("b").alias(f"m_{end}"))
     v = variant_edges.join(to("from_id"), [KEY, "from_id"], "left").join(to("to_id"), [KEY, "to_id"], "left")
-    loose = v.filter("m_from_id IS NULL OR m_to_id IS NULL")
-    a = v.filter("m_from_id IS NOT NULL AND m_to_id IS NOT NULL").select(KEY, "pos", "kind", F.col("m_from_id").alias("x"), F.col("m_to_id").alias("y"))
-    b = reference_edges.select(KEY, F.col("pos").alias("rpos"), F.col("kind").alias("rkind"), F.col("from_id").alias("x"), F.col("to_id").alias("y"))
-    found = None
-    for name, turned, typed in (("exact", False, True), ("type", False, False), ("direction", True, False)):
-        left, right = a, b
-        if turned:
-            right = b.select(KEY, "rpos", "rkind", F.col("y").alias("x"), F.col("x").alias("y"))
-        if found is not None:
-            left, right = left.join(found.select(KEY, "pos"), [KEY, "pos"], "left_anti"), right.join(found.select(KEY, "rpos"), [KEY, "rpos"], "left_anti")
-        keys = [KEY, "x", "y"] + ["k"] * typed
-        left = left.withColumn("k", F.col("kind")).withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("pos")))
-        right = right.withColumn("k", F.col("rkind")).withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("rpos")))
-        new = left.join(right if typed else right.drop("k"), [*keys, "turn"]).select(KEY, "pos", "rpos", "kind", "rkind", F.lit(name).alias("how"))
-        found = new if found is None else found.unionByName(new)
+    ends = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("\x1e", a, b))
+    shape = lambda df, a, b: df.select(KEY, F.col("pos").cast("long").alias("id"), "pos", F.col("kind").alias("type"), ends(a, b).alias("ends"), ends(b, a).alias("turned"))
+    rows = both_sides(shape(v, "m_from_id", "m_to_id"), shape(reference_edges, "from_id", "to_id"))
+    found = match_in_passes(rows, KEY, [("exact", False, True), ("type", False, False), ("direction", True, False)]).filter("side = 0 AND partner IS NOT NULL").select(KEY, F.col("type").alias("kind"), F.col("partner_type").alias("rkind"), F.col("outcome").alias("how"))
     pair = F.concat_ws("+", F.least("kind", "rkind"), F.greatest("kind", "rkind"))
     typed = lambda x: F.count_if((F.col("how") == "type") & (pair == x))
     e = found.groupBy(KEY).agg(F.count("*").alias("edges"), typed("CA+RA").alias("ra_ca"), typed("MA+RA").alias("ra_ma"), typed("CA+MA").alias("ca_ma"), F.count_if(F.col("how") == "direction").alias("turned"))

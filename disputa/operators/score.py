@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from disputa.functions import vocab
 from disputa.functions.graph import distance_band, family, precision_recall
-from disputa.operators.fold import illocutions, locution_order, proposition_order, relations
+from disputa.operators.fold import illocutions, locution_order, relations
+from disputa.operators.passes import both_sides, match_in_passes
 
 KEY = "graph_id"
 
@@ -26,22 +27,11 @@ def relation_outcomes(pred: DataFrame, gold: DataFrame, matching: DataFrame) ->
     """
     to = lambda end: matching.select(KEY, F.col("a").alias(end), F.col("b").alias(f"m_{end}"))
     p = pred.join(to("src"), [KEY, "src"], "left").join(to("dst"), [KEY, "dst"], "left")
-    ends = p.filter("m_src IS NOT NULL AND m_dst IS NOT NULL").select(KEY, "inst", "type", F.col("m_src").alias("x"), F.col("m_dst").alias("y"))
-    g = gold.select(KEY, F.col("inst").alias("gold_inst"), F.col("type").alias("gold_type"), F.col("src").alias("x"), F.col("dst").alias("y"))
-    found = None
-    for outcome, turned, typed in (("correct", False, True), ("mistyped", False, False), ("reversed", True, True), ("reversed", True, False)):
-        a, b = ends, g
-        if turned:
-            b = b.select(KEY, "gold_inst", "gold_type", F.col("y").alias("x"), F.col("x").alias("y"))
-        if found is not None:
-            a, b = a.join(found.select(KEY, "inst"), [KEY, "inst"], "left_anti"), b.join(found.select(KEY, "gold_inst"), [KEY, "gold_inst"], "left_anti")
-        keys = [KEY, "x", "y"] + ["t"] * typed
-        a = a.withColumn("t", F.col("type")).withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("inst")))
-        b = b.withColumn("t", F.col("gold_type")).withColumn("turn", F.row_number().over(W.partitionBy(*keys).orderBy("gold_inst")))
-        b = b.drop(*([] if typed else ["t"]))
-        new = a.join(b, [*keys, "turn"]).select(KEY, "inst", "gold_inst", "gold_type", F.lit(outcome).alias("outcome"))
-        found = new if found is None else found.unionByName(new)
-    return p.join(found, [KEY, "inst"], "left").select(KEY, "inst", "type", "src", "dst", F.coalesce("outcome", F.lit("spurious")).alias("outcome"), "gold_inst", "gold_type")
+    ends = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("\x1e", a, b))
+    shape = lambda df, a, b: df.select(KEY, F.col("inst").alias("id"), F.col("inst").alias("pos"), "type", "src", "dst", ends(a, b).alias("ends"), ends(b, a).alias("turned"))
+    rows = both_sides(shape(p, "m_src", "m_dst"), shape(gold, "src", "dst"))
+    found = match_in_passes(rows, KEY, [("correct", False, True), ("mistyped", False, False), ("reversed", True, True), ("reversed", True, False)])
+    return found.filter("side = 0").select(KEY, F.col("id").alias("inst"), "type", "src", "dst", F.coalesce("outcome", F.lit("spurious")).alias("outcome"), F.col("partner").alias("gold_inst"), F.col("partner_type").alias("gold_type"))
 
 
 def relation_counts(outcomes: DataFrame, gold: DataFrame) -> DataFrame:

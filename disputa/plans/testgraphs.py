@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from disputa.sources.scratch import written
+
 _TURNS = """
 t AS (SELECT cast(conv_id AS BIGINT) AS c, cast(turn AS BIGINT) AS i, cast(conv_id AS STRING) AS graph_id, coalesce(role, '') AS role, trim(coalesce(text, '')) AS text FROM conversations),
 k AS (SELECT *, lag(i) OVER (PARTITION BY c ORDER BY i) AS before FROM t WHERE i = 0 OR (c * 31 + i * 17) % 7 <> 0),
@@ -49,8 +51,16 @@ def duck(body: str) -> str:
     return PREAMBLE.replace("AS STRING", "AS VARCHAR") + body
 
 
+_MADE: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
 def graphs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The tables of the preamble."""
-    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    text = PREAMBLE.replace("FROM conversations", "FROM {conversations}")
-    return {name: spark.sql(f"{text} SELECT * FROM {name}", conversations=conversations) for name in ("t", "tg", "tp", "gn", "ge", "pn", "pe", "rn", "re")}
+    """The tables of the preamble, written once for a session and folder."""
+    made = _MADE.get((spark.sparkContext.applicationId, sf_dir))
+    if made is None:
+        conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+        text = PREAMBLE.replace("FROM conversations", "FROM {conversations}")
+        named = lambda name: spark.sql(f"{text} SELECT * FROM {name}", conversations=conversations)
+        made = {name: written(named(name), name) for name in ("t", "tg", "tp", "gn", "ge", "pn", "pe", "rn", "re")}
+        _MADE[(spark.sparkContext.applicationId, sf_dir)] = made
+    return made
