@@ -119,7 +119,7 @@ def plans(triplets: DataFrame, seed: int = 7) -> DataFrame:
 
 def random_sources(n: int, size: int, spark, seed: int = 3) -> DataFrame:
     """(source_id, child, parent, kind): trees whose propositions are skipped with 0.15; CA 0.25, MA 0.15, else RA."""
-    cells = spark.range(n).select(F.col("id").alias("source_id"), F.explode(F.sequence(F.lit(1), F.lit(size - 1))).cast("long").alias("child"))
+    cells = spark.range(n).select(F.col("id").alias("source_id"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(size - 1).cast("long"))).alias("child"))
     u = lambda k: uniform(seed + k, F.col("source_id"), F.col("child"))
     return cells.filter(u(0) >= 0.15).select("source_id", "child", F.floor(u(1) * F.col("child")).cast("long").alias("parent"), F.when(u(2) < 0.25, "CA").when(u(2) < 0.4, "MA").otherwise("RA").alias("kind"))
 
@@ -219,7 +219,7 @@ def cluster_draws(sources: DataFrame, replicates: int, seed: int = 11) -> DataFr
     """(rep, place, source_id): sources drawn with replacement; a source drawn twice is two clusters."""
     n = sources.count()
     numbered = sources.select("source_id", (F.row_number().over(W.orderBy("source_id")) - 1).cast("long").alias("i"))
-    draws = sources.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))).cast("long").alias("place"))
+    draws = sources.sparkSession.range(replicates).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))).alias("place"))
     return draws.select("rep", "place", F.pmod(draw(seed, F.col("rep"), F.col("place")), F.lit(max(1, n))).alias("i")).join(numbered, "i").select("rep", "place", "source_id")
 
 

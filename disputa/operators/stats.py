@@ -8,12 +8,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
-def normal_tail(z: pd.Series) -> pd.Series:
+def normal_tail(z: Column) -> Column:
     """Two-sided tail of the standard normal distribution."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
+
+    @F.pandas_udf(T.DoubleType())
+    def tail(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: math.erfc(abs(x) / math.sqrt(2)) if x == x else None)
+
+    return tail(z)
 
 
 def describe(values: DataFrame, keys: list[str], value: str) -> DataFrame:

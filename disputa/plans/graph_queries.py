@@ -10,6 +10,7 @@ from disputa.functions import vocab
 from disputa.operators import assign, build, fold, ged, report, score
 from disputa.plans.catalog import query
 from disputa.plans.testgraphs import duck, graphs
+from disputa.sources.scratch import written
 
 KEY = "graph_id"
 _R = lambda name, t: f"{name} AS (SELECT graph_id, i, rel AS type, grade, CASE WHEN turned THEN dst ELSE i END AS src, CASE WHEN turned THEN i ELSE dst END AS dst FROM {t} WHERE has)"
@@ -303,10 +304,13 @@ def ged_by_version(spark: SparkSession, d: str) -> DataFrame:
     locutions = props.select(KEY, F.replace("a", F.lit("I"), F.lit("L")).alias("a"), F.replace("b", F.lit("I"), F.lit("L")).alias("b"))
     cos = sim.select(KEY, "a", "b", "cos")
     cos = cos.unionByName(cos.select(KEY, F.replace("a", F.lit("I"), F.lit("L")).alias("a"), F.replace("b", F.lit("I"), F.lit("L")).alias("b"), "cos"))
-    out = None
+    raw, cos = written(props.unionByName(locutions), "raw"), written(cos, "cos")
+    pred, gold, out = (g["pn"], g["pe"]), (g["gn"], g["ge"]), None
+    derived = written(ged.derive(pred, gold, raw, KEY), "derived")
     for metric in vocab.METRICS:
-        full, reduced = ged.compare((g["pn"], g["pe"]), (g["gn"], g["ge"]), props.unionByName(locutions), cos, metric)
+        full, reduced = ged.compare(pred, gold, raw, cos, metric, derived=derived)
         row = full.select(KEY, F.lit(metric).alias("metric"), F.round("ged", 6).alias("full_ged"), F.round("similarity_gold", 6).alias("full_similarity_gold")).join(reduced.select(KEY, F.round("ged", 6).alias("reduced_ged"), F.round("similarity", 6).alias("reduced_similarity")), KEY)
+        row = written(row, metric)
         out = row if out is None else out.unionByName(row)
     return out
 
