@@ -8,10 +8,11 @@ share that many prefix tokens (the smaller l of the two) before it is verified o
 Steps: (1) one pass hashes the shingles, gives every document the digest of its set, and counts shingles in a sketch of
 fixed size, which any order may use, as the order need only be the same for all; equal sets are a class. (2) A second pass
 sends prefix tokens to buckets; a task sends a class once, and tokens whose share of all is large are salted. (3) A
-document is first tried with one pivot, the member of its buckets that shares most with it. Links of that round make
-components. (4) Only pairs of different components that share a bucket are left: they need enough shared prefix tokens,
-and the place of the first shared token and both sizes must allow the overlap (positional filter). They are verified,
-and all links together give the final components. So groups of copies cost a link for each copy, and no pair is lost.
+document joins the group of one pivot, the member of its buckets that shares most with it. Groups are compared whole,
+block by block, and return spanning forests of their links, whose components are found. (4) Only pairs of different
+components and groups that share a bucket are left: they need enough shared prefix tokens, and the place of the first
+shared token and both sizes must allow the overlap (positional filter). They are verified, and all links together give the
+final components. So groups of copies cost a link for each copy, and no pair is lost.
 
 Shingles are 64-bit hashes; two of 10**10 pairs of documents would be judged on a false equality with probability 1e-4.
 
@@ -30,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputa.llm.common import Scratch, fold_case, mix, span_hashes, steps, table, utf8, words
+from disputa.llm.common import Scratch, fold_case, mix, runs, span_hashes, steps, table, utf8, words
 from disputa.llm.components import components
 
 #: Words of a shingle; similarity in hundredths; largest l; counters of the sketch (a power of 2) and of one slice.
 WIDTH, SIMILAR, MOST_MATCHES, COUNTERS, SLICE = 5, 75, 8, 1 << 20, 1 << 14
 #: Cost of verifying a candidate, in prefix tokens; a bucket above this share of a partition is salted.
 VERIFY_COST, SALT_SHARE = 4.0, 0.25
+#: Documents of a block of a group.
+BLOCK = 256
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -266,6 +269,66 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").select("doc_id", "text", cells(F.col("doc_id").cast("long")).alias("cell")).mapInArrow(run, "id long, hashes binary")
 
 
+def _similar(sets: list[np.ndarray], size: int = 4096) -> np.ndarray:
+    """The boolean table of similar pairs of sorted sets. Only hashes that two sets hold are counted, by products of incidence tables."""
+    n = np.array([len(x) for x in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    _, inverse, times = np.unique(flat, return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    held = times[inverse] > 1
+    owner, column = owner[held], column[inverse[held]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, size):
+        a, b = np.searchsorted(column, [at, at + size])
+        table = np.zeros((len(sets), size), np.float32)
+        table[owner[a:b], column[a:b] - at] = 1
+        shared += table @ table.T
+    return (shared > 0) & (100 * shared.astype(np.int64) >= SIMILAR * (n[:, None] + n[None, :] - shared.astype(np.int64)))
+
+
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """(a, b) links of a spanning forest of a symmetric boolean table."""
+    seen, out = np.zeros(len(near), bool), []
+    for start in range(len(near)):
+        if seen[start]:
+            continue
+        seen[start], todo = True, [start]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & ~seen)
+            seen[new] = True
+            out += [(i, int(j)) for j in new]
+            todo += new.tolist()
+    return out
+
+
+def _group_links(groups: DataFrame, docs: DataFrame, partitions: int) -> DataFrame:
+    """(a, b) links that connect all similar members of each group (id, cluster), whole sets compared.
+
+    A group of any size is cut into blocks of about ``BLOCK`` documents, and every two blocks are a piece of work of its own
+    that returns a spanning forest: rows grow by the number of blocks, results stay in proportion to the rows.
+    """
+    sizes = groups.groupBy("cluster").agg(F.count("*").alias("size"))
+    dealt = groups.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    paired = paired.select("id", "cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
+    filled = paired.join(_sets(docs, groups.select("id").distinct()), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["cluster", "x", "y"]):
+            ids = rows.column("id").to_pylist()
+            if len(set(ids)) < 2:
+                continue
+            sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+            links = _forest(_similar(sets))
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
+
+    placed = filled.select("cluster", "x", "y", "id", "hashes").repartition(partitions, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    return placed.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
+
+
 def _verified(tries: DataFrame, docs: DataFrame) -> DataFrame:
     """The (a, b) whose whole sets are similar."""
     sets = _sets(docs, tries.select(F.col("a").alias("id")).unionByName(tries.select(F.col("b").alias("id"))))
@@ -306,21 +369,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     met = tried.groupBy("id", "pivot").agg(F.count("*").alias("met"))
     rep_of = lambda name, as_: members.select(F.col("doc_id").alias(name), F.col("rep").alias(as_))
     best = met.filter("id <> pivot").groupBy("id").agg(F.max_by("pivot", F.struct("met", -F.col("pivot"))).alias("pivot"))
-    stars = best.join(rep_of("id", "b"), "id").join(rep_of("pivot", "a"), "pivot").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    stars = scratch.keep(stars, "stars")
+    # A document's group is that of its pivot; a pivot belongs to its own group too.
+    stars = scratch.keep(best.join(rep_of("id", "b"), "id").join(rep_of("pivot", "a"), "pivot").filter("a <> b").groupBy("b").agg(F.min("a").alias("a")), "stars")
+    groups = stars.select(F.col("b").alias("id"), F.col("a").alias("cluster")).unionByName(stars.select(F.col("a").alias("id"), F.col("a").alias("cluster")).distinct())
     same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = scratch.keep(_verified(stars, docs).unionByName(same.distinct()), "links")
+    links = scratch.keep(_group_links(groups, docs, partitions).unionByName(same.distinct()), "links")
     labels = scratch.keep(components(links, scratch), "labels")
 
-    # What is left: pairs of different components in a bucket.
-    named = found.select("token", "id", _meta("n").alias("n"), _meta("place").alias("place"), _meta("l").alias("l")).join(labels, "id", "left").select("token", "id", "n", "place", "l", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("token")
+    # What is left: pairs of different components and groups in a bucket.
+    known = members.select(F.col("doc_id").alias("id"), "rep").distinct().join(stars.select(F.col("b").alias("rep"), F.col("a").alias("cluster")), "rep", "left").select("id", "rep", F.coalesce("cluster", "rep").alias("cluster"))
+    known = scratch.keep(known.join(labels, "id", "left").select("id", "rep", "cluster", F.coalesce("component", "id").alias("label")), "known")
+    named = found.select("token", "id", _meta("n").alias("n"), _meta("place").alias("place"), _meta("l").alias("l")).join(known, "id")
+    named = named.groupBy("token", "rep", "cluster", "label", "n", "l", "place").agg(F.min("id").alias("id"))
+    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cluster").alias("c1"), F.max("cluster").alias("c2")).filter("low < high AND c1 < c2").select("token")
     left = scratch.keep(named.join(mixed, "token"), "left")
     caps = left.groupBy("id").agg(F.min("place").alias("from"))
     capped = left.join(caps, "id").withColumn("cap", F.col("n") - F.col("from"))
-    side = lambda s: capped.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "l", "label", "cap")))
+    side = lambda s: capped.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "l", "label", "cap", "cluster", "rep")))
     need = F.ceil(F.lit(SIMILAR) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + SIMILAR))
-    fits = (F.col("label_a") < F.col("label_b")) & (F.least("cap_a", "cap_b") >= need)
+    apart = (F.col("cluster_a") != F.col("cluster_b")) & (F.col("cluster_a") != F.col("rep_b")) & (F.col("cluster_b") != F.col("rep_a"))
+    fits = (F.col("label_a") < F.col("label_b")) & apart & (F.least("cap_a", "cap_b") >= need)
     pairs = side("a").join(side("b"), "token").filter(fits).groupBy("id_a", "id_b").agg(F.count("*").alias("met"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first(F.least("l_a", "l_b")).alias("l"))
     pairs = pairs.filter((F.col("met") >= F.col("l")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need))
     rest = pairs.join(rep_of("id_a", "x"), "id_a").join(rep_of("id_b", "y"), "id_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()

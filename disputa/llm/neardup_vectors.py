@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputa.llm.common import Scratch, mix, table
+from disputa.llm.common import Scratch, mix, runs, table
 from disputa.llm.components import components
 
 #: Links need this cosine; width of a quantum; recall at the threshold; random mates in a bucket; vectors of a block.
@@ -61,29 +61,6 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, flat / np.sqrt((flat * flat).sum(1))[:, None]
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, across batches."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
-        change = np.zeros(batch.num_rows, bool)
-        for c in columns:
-            change[1:] |= c[1:] != c[:-1]
-        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-        for a, b in zip(cuts, cuts[1:]):
-            key = tuple(c[a] for c in columns)
-            if held and key != last:
-                yield pa.Table.from_batches(held)
-                held = []
-            last = key
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _tries(classes: DataFrame, k: int, tables: int) -> DataFrame:
     """Distinct (a, b) that a bucket pairs: each class with the least id of its bucket."""
 
@@ -141,7 +118,7 @@ def _degrees(members: DataFrame, threshold: float) -> DataFrame:
     paired = paired.select("component", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "id", "times", "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _runs(batches, ["component", "x", "y"]):
+        for rows in runs(batches, ["component", "x", "y"]):
             ids, times, block = (rows.column(c).to_numpy() for c in ("id", "times", "block"))
             same = rows.column("x")[0].as_py() == rows.column("y")[0].as_py()
             for at, unit in by_length(rows.column("embedding").combine_chunks()):
