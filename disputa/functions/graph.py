@@ -93,7 +93,7 @@ def speaker_of(speaker: Column, text: Column) -> Column:
 def locution_text(text: Column) -> Column:
     """A locution without its speaker's prefix."""
     prefixed = (F.instr(text, " : ") > 1) & (F.octet_length(F.substring_index(text, " : ", 1)) < 60)
-    return F.trim(F.when(prefixed, F.expr("substr(text, instr(text, ' : ') + 3)")).otherwise(text))
+    return F.trim(F.when(prefixed, F.substr(text, F.instr(text, " : ") + F.lit(3))).otherwise(text))
 
 
 def truncated(text: Column, size: int = 80) -> Column:
