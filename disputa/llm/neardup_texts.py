@@ -8,7 +8,7 @@ share that many prefix tokens (the smaller l of the two) before it is verified o
 Steps: (1) one pass hashes the shingles, gives every document the digest of its set, and counts shingles in a sketch of
 fixed size, which any order may use, as the order need only be the same for all; equal sets are a class. (2) A second pass
 sends prefix tokens to buckets; a task sends a class once, and tokens whose share of all is large are salted. (3) A
-document joins the group of one pivot, the member of its buckets that shares most with it. Groups are compared whole,
+document that shares many prefix tokens with a pivot, a member of its buckets, joins the group of the one it shares most with. Groups are compared whole,
 block by block, and return spanning forests of their links, whose components are found. (4) Only pairs of different
 components and groups that share a bucket are left: they need enough shared prefix tokens, and the place of the first
 shared token and both sizes must allow the overlap (positional filter). They are verified, and all links together give the
@@ -38,8 +38,9 @@ from disputa.llm.components import components
 WIDTH, SIMILAR, MOST_MATCHES, COUNTERS, SLICE = 5, 75, 8, 1 << 20, 1 << 14
 #: Cost of verifying a candidate, in prefix tokens; a bucket above this share of a partition is salted.
 VERIFY_COST, SALT_SHARE = 4.0, 0.25
-#: Documents of a block of a group.
-BLOCK = 256
+#: Documents of a block of a group. A document joins a group if it shares one in so many of its shingles, as prefix tokens;
+#: others only take part in the exact join of what is left.
+BLOCK, GROUP_SHARE = 256, 24
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -365,8 +366,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = scratch.keep(_buckets(_postings(docs, sketch, partitions), partitions), "buckets")
     # Salted tokens: the pivot of all salts.
     top = found.filter("salt >= 0").groupBy("token").agg(F.max(F.struct(_meta("rank").alias("rank"), (-F.col("pivot")).alias("least"))).alias("top")).select("token", (-F.col("top.least")).alias("all"))
-    tried = found.filter("salt < 0").select("id", "pivot").unionByName(found.filter("salt >= 0").join(top, "token").select("id", F.col("all").alias("pivot")))
-    met = tried.groupBy("id", "pivot").agg(F.count("*").alias("met"))
+    n = _meta("n").alias("n")
+    tried = found.filter("salt < 0").select("id", "pivot", n).unionByName(found.filter("salt >= 0").join(top, "token").select("id", F.col("all").alias("pivot"), n))
+    met = tried.groupBy("id", "pivot").agg(F.count("*").alias("met"), F.max("n").alias("n")).filter(F.col("met") * GROUP_SHARE >= F.col("n"))
     rep_of = lambda name, as_: members.select(F.col("doc_id").alias(name), F.col("rep").alias(as_))
     best = met.filter("id <> pivot").groupBy("id").agg(F.max_by("pivot", F.struct("met", -F.col("pivot"))).alias("pivot"))
     # A document's group is that of its pivot; a pivot belongs to its own group too.
