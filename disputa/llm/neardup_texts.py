@@ -364,6 +364,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = scratch.keep(filled.join(reps, ["k1", "k2", "n"]).select("doc_id", "rep"), "members")
 
     found = scratch.keep(_buckets(_postings(docs, sketch, partitions), partitions), "buckets")
+    scratch.release()
     # Salted tokens: the pivot of all salts.
     top = found.filter("salt >= 0").groupBy("token").agg(F.max(F.struct(_meta("rank").alias("rank"), (-F.col("pivot")).alias("least"))).alias("top")).select("token", (-F.col("top.least")).alias("all"))
     n = _meta("n").alias("n")
@@ -376,6 +377,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     groups = stars.select(F.col("b").alias("id"), F.col("a").alias("cluster")).unionByName(stars.select(F.col("a").alias("id"), F.col("a").alias("cluster")).distinct())
     same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     links = scratch.keep(_group_links(groups, docs, partitions).unionByName(same.distinct()), "links")
+    scratch.release()
     labels = scratch.keep(components(links, scratch), "labels")
 
     # What is left: pairs of different components and groups in a bucket.
@@ -396,6 +398,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     rest = pairs.join(rep_of("id_a", "x"), "id_a").join(rep_of("id_b", "y"), "id_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
     rest = scratch.keep(rest, "rest")
     scratch.drop(found, left)
+    scratch.release()
     more = _verified(rest, docs)
     graph = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
     final = scratch.keep(components(graph, scratch), "final")
