@@ -5,10 +5,12 @@ are a bucket, and many tables of buckets are searched. Projections by table and
 vectors: random vectors meet ``PURITY`` others of a table on average, and a pair at the threshold meets in some table
 with probability ``RECALL``, closer pairs more surely.
 
-Equal vectors are one class from the start. In a bucket, each class is tried with the least one;
+Equal vectors are one class from the start. In a bucket, each class is first tried with the least one;
 tries with an exact cosine (double precision) of the threshold are links, whose components are found on written
-tables. Links are then counted whole inside each component, by products of blocks of at most ``BLOCK`` vectors, so no
-list of all pairs is made and a large component is many small tasks.
+tables. A bucket whose other classes are not all of one component by then is compared whole, all pairs, so that every
+pair that meets in a bucket is tried or already joined. Links are then counted whole inside each component. Both are
+products of blocks of about ``BLOCK`` vectors, so no list of all pairs is made and a large bucket or component is many
+small tasks.
 
 Defined results: null, empty and zero vectors and those with null or non-finite components link with nothing; vectors of
 different lengths are never linked; rows with one id count as vectors of their own; labels and other columns are
@@ -61,8 +63,8 @@ def by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield rows, flat / np.sqrt((flat * flat).sum(1))[:, None]
 
 
-def _tries(classes: DataFrame, k: int, tables: int) -> DataFrame:
-    """Distinct (a, b) that a bucket pairs: each class with the least id of its bucket."""
+def _met(classes: DataFrame, k: int, tables: int) -> DataFrame:
+    """(bucket, n, a, b) of buckets with n > 1 classes: each class b with the least id a of its bucket."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drawn: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -83,9 +85,8 @@ def _tries(classes: DataFrame, k: int, tables: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), pa.array(np.repeat(ids[rows], tables))], names=["bucket", "id"])
 
     placed = classes.select("id", "embedding").mapInArrow(hashed, "bucket long, id long")
-    least = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1").select("bucket", "a")
-    starred = placed.join(least, "bucket").filter("id <> a").select("a", F.col("id").alias("b"))
-    return starred.groupBy("a", "b").agg(F.count("*").alias("met")).select("a", "b")
+    least = placed.groupBy("bucket").agg(F.min("id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return placed.join(least, "bucket").filter("id <> a").select("bucket", "n", "a", F.col("id").alias("b"))
 
 
 def _verified(tries: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -108,6 +109,46 @@ def _verified(tries: DataFrame, classes: DataFrame, threshold: float) -> DataFra
     return joined.select("a", "b", "va", "vb").mapInArrow(run, "a long, b long")
 
 
+def _forest(close: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect whatever a symmetric matrix of links connects: one for each vertex reached from another."""
+    left, out = np.ones(len(close), bool), []
+    for seed in range(len(close)):
+        reached = [seed] if left[seed] else []
+        left[seed] = False
+        while reached:
+            at = reached.pop()
+            new = np.flatnonzero(close[at] & left).tolist()
+            left[new] = False
+            out += [(at, i) for i in new]
+            reached += new
+    return out
+
+
+def _crowded(met: DataFrame, labels: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) links that connect the classes of each bucket beyond the tries with its least id; labels: (id, component) so far.
+
+    Only buckets where classes besides the least are of several components have anything to add.
+    """
+    named = met.filter("n > 2").join(labels.withColumnRenamed("id", "b"), "b", "left").select("bucket", "n", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
+    mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("bucket")
+    blocks = F.ceil((F.col("n") - 1) / BLOCK).cast("long")
+    dealt = named.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    # A block meets every other block of its bucket; a pair of blocks compares all its vectors.
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).filter("blocks = 1 OR block <> other")
+    paired = paired.select("bucket", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in runs(batches, ["bucket", "x", "y"]):
+            ids = rows.column("id").to_numpy()
+            for at, unit in by_length(rows.column("embedding").combine_chunks()):
+                found = np.array(_forest(unit @ unit.T >= threshold), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[found[:, i]]]) for i in (0, 1)], names=["a", "b"])
+
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = paired.join(classes.select("id", "embedding"), "id").repartition(n, "bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return packed.mapInArrow(run, "a long, b long").distinct()
+
+
 def _degrees(members: DataFrame, threshold: float) -> DataFrame:
     """(id, n) with n the linked rows of other classes; members: id, component, times, embedding of components of two or more."""
     sizes = members.groupBy("component").agg(F.count("*").alias("size"))
@@ -148,8 +189,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, recall: fl
     usable = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("embedding", lambda x: x != 0)
     classes = scratch.keep(rows.filter(usable).groupBy(*key).agg(F.min("vec_id").alias("id"), F.count("*").alias("times"), F.first("embedding").alias("embedding")), "classes")
     k, tables = shape(classes.count(), threshold, recall)
-    links = scratch.keep(_verified(_tries(classes, k, tables), classes, threshold), "links")
+    met = scratch.keep(_met(classes, k, tables), "met")
+    links = scratch.keep(_verified(met.select("a", "b").distinct(), classes, threshold), "links")
     labels = scratch.keep(components(links, scratch), "labels")
+    more = scratch.keep(_crowded(met, labels, classes, threshold), "more")
+    scratch.drop(met)
+    if not more.isEmpty():
+        labels = scratch.keep(components(links.unionByName(more), scratch), "labels")
     degrees = _degrees(classes.join(labels, "id").select("id", "component", "times", "embedding"), threshold)
     found = scratch.keep(classes.select("k1", "k2", "id", "times").join(labels, "id", "left").join(degrees, "id", "left").select("k1", "k2", F.coalesce("component", "id").alias("component"), (F.coalesce("n", F.lit(0)) + F.col("times") - 1).alias("n")), "found")
     named = rows.select("vec_id", *[F.when(usable, k).alias(f"k{i}") for i, k in enumerate(key, 1)])

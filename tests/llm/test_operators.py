@@ -262,6 +262,25 @@ def test_vectors(spark):
     assert neardup_vectors.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_a_dense_topic(spark, monkeypatch):
+    monkeypatch.setattr(neardup_vectors, "BLOCK", 32)  # hot buckets take several blocks
+    rng = np.random.default_rng(11)
+    topic = rng.normal(size=64) / 8
+    base = topic + 0.5 * rng.normal(size=(1500, 64)) / 8  # mutual cosine about 0.8
+    near = base[:300] + 0.29 * rng.normal(size=(300, 64)) / 8  # about 0.94 to its original
+    vectors = np.concatenate([base, near]).astype(np.float32)
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    close = np.triu(unit @ unit.T >= 0.9, 1)
+    order = rng.permutation(len(vectors)).tolist()
+    frame = spark.createDataFrame([(order[i], v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r.component_id for r in neardup_vectors.near_duplicates(frame).collect()}
+    links = [(order[a], order[b]) for a, b in zip(*np.nonzero(close))]
+    want = components_of(range(len(vectors)), links)
+    assert np.median((unit @ unit.T)[:1500, :1500]) > 0.75 and len(links) >= 250
+    assert all(want[got[i]] == want[i] for i in got)
+    assert sum(got[a] == got[b] for a, b in links) >= neardup_vectors.RECALL * len(links)
+
+
 def test_texts(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
