@@ -241,6 +241,16 @@ def test_main_text(spark):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_template_inside_articles(spark):
+    box = "<div class=x1><p>More from <i>our</i> desk</p><ul><li>Write to us</ul></div>"
+    page = lambda i, more="": f"<body><p>Menu {more}</p><article><h2>Summary</h2><p>Story {i} is <b>our</b> own.</p>{box}{'<p>Shared passage.</p>' if i % 4 == 0 else ''}</article></body>"
+    rows = [(i, "http://h.example/", page(i)) for i in range(12)] + [(20 + i, "http://h.example/", page(12, i)) for i in range(30)]  # one article on 30 pages
+    rows += [(60 + i, "http://few.example/", page(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Summary\nStory 1 is our own." and got[4] == got[1].replace("1", "4") + "\nShared passage."
+    assert got[20] == "Summary\nStory 12 is our own.\nShared passage." and "our desk\nWrite to us" in got[61]
+
+
 # ---- Near-duplicates
 
 
