@@ -193,6 +193,17 @@ def test_language_model(spark):
     assert lm.scores(docs.limit(0), lm.fit(training, counts), counts).count() == 0
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    docs = docs_of(spark, [" ".join("abcdefgh"[(i + k) % 8] for k in range(40)) for i in range(1200)])
+    counts = lm.count(docs)
+    monkeypatch.setattr(lm, "SHARD", 25000)
+    model = lm.fit(docs, counts, fit_rows=0)  # what is learned comes from the shards
+    rows = lm.scores(docs, model, counts).collect()
+    assert sum(r.score for r in rows) > 0.8 * sum(r.base_score for r in rows)  # the order of words is known
+    again = lm.fit(docs.repartition(5, "text"), counts, fit_rows=0).net.w
+    assert all(np.allclose(again[k], w, atol=1e-4) for k, w in model.net.w.items())
+
+
 def test_states_are_carried():
     net = lm.Network(np.arange(10, dtype=np.int64))
     rng = np.random.default_rng(1)
