@@ -22,10 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from disputa.llm.common import code_points, mix, span_hashes, steps, table, utf8
+from disputa.llm.common import bounded, code_points, mix, span_hashes, steps, table, utf8
 
 #: Longest cache of merged pre-tokens in a worker, by number of pre-tokens.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1 << 17
+#: Bytes of text of a step: pre-tokens that repeat in it are looked up once.
+TEXT_STEP = 1 << 20
 #: Code points in a step of the blocked scan that each lane goes through.
 LANE = 256
 
@@ -345,12 +347,12 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", ids: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            for part in steps(batch, text):
+            for part in steps(batch, text, TEXT_STEP):
                 found, by_text, first = own.encode(part.column(text))
                 lists = [pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(found, pa.int32())), pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(first, pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *lists], names=[*keep, ids, starts])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return bounded(docs).select(*keep).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -369,7 +371,7 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "token_ids",
                 rows = [own.decode(np.asarray(x, np.int64)) if x is not None else b"" for x in (v.values.to_numpy() if v.is_valid else None for v in part.column(ids))]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(rows, pa.binary())], names=[*keep, out])
 
-    return encoded.select(*keep).mapInArrow(run, schema)
+    return bounded(encoded).select(*keep).mapInArrow(run, schema)
 
 
 def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -380,14 +382,14 @@ def encode_checked(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, "text", TEXT_STEP):
                 found, by_text, _ = own.encode(part.column("text"))
                 data = own.decode(found)
                 at_byte = np.concatenate(([0], np.cumsum(own.lengths[found])))[by_text].tolist()
                 decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at_byte, at_byte[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("source").cast(pa.string()), pa.array(np.diff(by_text), pa.int64()), pa.ListArray.from_arrays(pa.array(by_text, pa.int32()), pa.array(found, pa.int32())), pa.array(decoded)], names=names)
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, token_ids array<int>, decoded_sha256 string")
+    return bounded(docs).select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, n_tokens long, token_ids array<int>, decoded_sha256 string")
 
 
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -401,7 +403,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
         own = tokenizer(path)
         names = [str(i).encode() for i in range(len(own.lengths))]
         for batch in batches:
-            for part in steps(batch):
+            for part in steps(batch, "text", TEXT_STEP):
                 found, by_text, _ = own.encode(part.column("text"))
                 data = own.decode(found)
                 at_byte = np.concatenate(([0], np.cumsum(own.lengths[found])))[by_text].tolist()
@@ -410,7 +412,7 @@ def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
                 decoded = [hashlib.sha256(data[a:b]).hexdigest() for a, b in zip(at_byte, at_byte[1:])]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(np.diff(by_text), pa.int64()), pa.array(ids_hash), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, DIGESTS)
+    return bounded(docs).select("doc_id", "text").mapInArrow(run, DIGESTS)
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

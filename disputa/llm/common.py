@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of UTF-8 text that one numpy step works on; longer documents are a step of their own.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 18
+#: Bytes of an Arrow batch that is sent to Python; a longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +31,20 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % F.lit(modulus)
 
 
+def bounded(docs: DataFrame) -> DataFrame:
+    """The same table; from here on the session sends Python no Arrow batches above ``BATCH_BYTES``, however long texts are."""
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext._conf.get("spark.checkpoint.dir")
+    """The shared folder of spark.checkpoint.dir. Where the session names none, a local master gets a temporary one; a cluster is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="disputa-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -42,6 +54,18 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{scratch_root(spark)}/scratch-{uuid.uuid4().hex}"
+        atexit.register(self._clean)
+
+    def _clean(self) -> None:
+        """Deletes what is left when the program ends, if the session is still there."""
+        if self.spark.sparkContext._jsc is not None:
+            with contextlib.suppress(Exception):
+                self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        context = self.spark.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
@@ -57,10 +81,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes the files of tables that no later plan reads."""
-        context = self.spark.sparkContext
         for df in tables:
-            path = context._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._scratch_path)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
