@@ -5,7 +5,9 @@ is the set of languages that may contain it. A text's counts of set bits, less w
 
 Defined results: a null text and one without letters are ``und`` with score 0; a text whose n-grams no language has
 gets the language with most training rows and score 0; ties go to the language with more training rows, then by name;
-repeated rows give repeated rows; extra columns do not matter; without training rows every text is ``und``.
+repeated rows give repeated rows, and equal training rows of a language count once; rows with a null id train like others;
+extra columns do not matter and clashing names are replaced; without training rows every text is ``und``. Every language
+of the training rows is learned; more than ``MOST_LANGUAGES`` different values are an error, as filters go to every task.
 """
 
 from __future__ import annotations
@@ -19,19 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from disputa.llm.bpe import char_classes
-from disputa.llm.common import code_points, mix, remainder, steps, table
+from disputa.llm.common import bounded, code_points, mix, remainder, steps, table
 from disputa.llm.grams import letters_or_gap, ngrams, padded
 
 #: Lengths of the n-grams.
 ORDERS = (2, 3, 4)
-#: Rows of each language from which the filters are learned, as an expected number: the rows whose hash is lowest.
+#: Rows of each language from which the filters are learned, as an expected number: the rows whose hash of id and text is lowest.
 FIT_ROWS = 1500
 #: Share of a language's rows that must hold an n-gram for it to enter that language's filter.
 LEAST_SHARE = 0.004
 #: Cells of a filter (a power of 2) and hash functions.
 CELLS, HASHES = 1 << 20, 3
-#: Most languages, 8 to a slice of a cell.
-MOST_LANGUAGES = 256
+#: Most languages, 8 to a slice of a cell; with more the training fails, as a column of so many values isn't one of languages.
+MOST_LANGUAGES = 2048
 
 
 @dataclass
@@ -86,15 +88,20 @@ def build(rows: list[tuple[str, int]], sizes: dict[str, int]) -> Filters:
 
 
 def fit(training: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAST_SHARE) -> Filters:
-    """Learns from (doc_id, text, lang) rows: about ``fit_rows`` of each language, those with the lowest hash of the id."""
+    """Learns from (doc_id, text, lang) rows: about ``fit_rows`` of each language, those with the lowest hash of id and text.
+
+    An n-gram enters a language's filter if at least ``least_share`` of these rows (and one row) hold it.
+    """
     spark = training.sparkSession
-    training = training.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r[0]: r[1] for r in training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    training = bounded(training).filter("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = {r[0]: r[1] for r in training.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
         return build([], {})
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
     share = spark.createDataFrame([(k, int(min(1.0, fit_rows / v) * (1 << 30))) for k, v in sizes.items()], "lang string, below long")
-    sample = training.join(F.broadcast(share), "lang").filter(draw < F.col("below")).select("lang", "text")
+    sample = training.join(F.broadcast(share), "lang").filter(draw < F.col("below")).select("lang", "text").distinct()
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,7 +120,7 @@ def fit(training: DataFrame, fit_rows: int = FIT_ROWS, least_share: float = LEAS
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), pa.array(own.view(np.int64)), pa.array(counts, pa.int64())], names=["lang", "gram", "n"])
 
     counted = sample.mapInArrow(grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    least = spark.createDataFrame([(k, max(2.0, least_share * min(v, fit_rows)) if v > 20 else 1.0) for k, v in sizes.items()], "lang string, least double")
+    least = spark.createDataFrame([(k, least_share * min(v, fit_rows)) for k, v in sizes.items()], "lang string, least double")
     rows = counted.join(F.broadcast(least), "lang").filter("n >= least").select("lang", "gram").toArrow()
     return build(list(zip(rows.column("lang").to_pylist(), rows.column("gram").to_pylist())), sizes)
 
@@ -144,7 +151,7 @@ def predict(docs: DataFrame, filters: Filters, text: str = "text", pred: str = "
                 best, value = np.where(has, best, len(own.languages)), np.where(has, np.clip(value, 0, 1), 0.0)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(names[best], pa.string()), pa.array(value)], names=[*keep, pred, score])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return bounded(docs).select(*keep).mapInArrow(run, schema)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
