@@ -8,7 +8,7 @@ Words are lower-case runs without white space; a word that repeats the one befor
 seen before in the text, also counts as a marker word, so that averages see repetition.
 
 Defined results: a null or empty text has the score of the bias alone; ids that occur in several label rows take the
-mean label, 0.5 counting as 1; null labels are left out; without label rows every score is 0.5; repeated rows give
+mean label, 0.5 counting as 1, and with several texts train on the one whose features have the least hash; null labels are left out; without label rows every score is 0.5; repeated rows give
 repeated rows; extra columns do not matter.
 """
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputa.llm.common import code_points, fold_case, mix, remainder, span_hashes, steps, table, utf8, words
+from disputa.llm.common import bounded, code_points, fold_case, mix, remainder, span_hashes, steps, table, utf8, words
 from disputa.llm.grams import ngrams, padded, spaced
 
 #: Most labelled rows that training sees, those with the lowest hash of the id.
@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
                     columns += [pa.array([bucket[new][a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary()), pa.array([share[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "w", "ws", "g", "gs"])
 
-    got = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, w binary, ws binary, g binary, gs binary").dropDuplicates(["doc_id"]).toArrow().sort_by("doc_id")
+    got = bounded(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, w binary, ws binary, g binary, gs binary").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("w", "g").alias("hash"), "w", "ws", "g", "gs")).alias("row")).select("doc_id", "row.*").toArrow().sort_by("doc_id")
     return train([(np.frombuffer(r["w"], np.int32), np.frombuffer(r["ws"], np.float32), np.frombuffer(r["g"], np.int32), np.frombuffer(r["gs"], np.float32), chosen[r["doc_id"]]) for r in got.to_pylist()])
 
 
@@ -158,7 +158,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", score: str = "qua
             for part in steps(batch, text):
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(own.score(part.column(text)))], names=[*keep, score])
 
-    return docs.select(*keep).mapInArrow(run, schema)
+    return bounded(docs).select(*keep).mapInArrow(run, schema)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
