@@ -6,19 +6,22 @@ A document with a costly prefix (many estimated candidates) takes a larger l: it
 share that many prefix tokens (the smaller l of the two) before it is verified on the whole sets.
 
 Steps: (1) one pass hashes the shingles, gives every document the digest of its set, and counts shingles in a sketch of
-fixed size, which any order may use, as the order need only be the same for all; equal sets are a class. (2) A second pass
-sends prefix tokens to buckets; a task sends a class once, and tokens whose share of all is large are salted. (3) A
-document that shares many prefix tokens with a pivot, a member of its buckets, joins the group of the one it shares most with. Groups are compared whole,
-block by block, and return spanning forests of their links, whose components are found. (4) Only pairs of different
-components and groups that share a bucket are left: they need enough shared prefix tokens, and the place of the first
-shared token and both sizes must allow the overlap (positional filter). They are verified, and all links together give the
-final components. So groups of copies cost a link for each copy, and no pair is lost.
+fixed size, which any order may use, as the order need only be the same for all; equal sets are a class, and only one
+member of a class, its smallest id, takes part in links and components. (2) A second pass sends prefix tokens to buckets;
+a task sends a class once, and tokens whose share of all is large are salted. (3) A document that shares many prefix tokens
+with a pivot, a member of its buckets, joins the group of the one it shares most with. Members of a group are dealt to
+blocks and compared whole inside them, a group of several blocks twice; what is not connected by then is compared with all
+other blocks of its group. So a group of copies costs two comparisons of blocks, not one for each two blocks. (4) Only
+pairs of different components and groups that share a bucket are left: they need enough shared prefix tokens, and the
+place of the first shared token and both sizes must allow the overlap (positional filter). A large bucket is cut into
+blocks, each two of which are a key of the join. The pairs are verified, and join components. No pair is lost.
 
 Shingles are 64-bit hashes; two of 10**10 pairs of documents would be judged on a false equality with probability 1e-4.
 
 Defined results: case is folded for A-Z, words are runs without ASCII white space; with fewer words than a shingle's, the
-whole sequence is one; a null or empty text has no shingles and is its own component; documents with one id are one node
-and each row is returned; a null id has a null component; extra columns do not matter; an empty table stays empty.
+whole sequence is one; a null or empty text has no shingles and is its own component; rows with one id are one node,
+whatever their texts, and each row is returned; a null id has a null component; extra columns do not matter; an empty
+table stays empty.
 """
 
 from __future__ import annotations
@@ -31,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputa.llm.common import Scratch, fold_case, mix, runs, span_hashes, steps, table, utf8, words
+from disputa.llm.common import Scratch, bounded, fold_case, mix, runs, span_hashes, steps, table, utf8, words
 from disputa.llm.components import components
 
 #: Words of a shingle; similarity in hundredths; largest l; counters of the sketch (a power of 2) and of one slice.
 WIDTH, SIMILAR, MOST_MATCHES, COUNTERS, SLICE = 5, 75, 8, 1 << 20, 1 << 14
 #: Cost of verifying a candidate, in prefix tokens; a bucket above this share of a partition is salted.
 VERIFY_COST, SALT_SHARE = 4.0, 0.25
-#: Documents of a block of a group. A document joins a group if it shares one in so many of its shingles, as prefix tokens;
-#: others only take part in the exact join of what is left.
-BLOCK, GROUP_SHARE = 256, 24
+#: Shingles of a block of a group, and rows of a block of a bucket. A document joins a group if it shares one in so many of
+#: its shingles, as prefix tokens; others only take part in the exact join of what is left.
+BLOCK, BUCKET_BLOCK, GROUP_SHARE = 1 << 18, 1024, 24
 
 
 def shingles(texts: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -164,11 +167,11 @@ def prefix(estimates: np.ndarray, load: float) -> tuple[int, int, int]:
 
 def _postings(docs: DataFrame, sketch: np.ndarray, partitions: int) -> DataFrame:
     """(token, salt, id, meta) of prefix tokens; a task sends the sets it has seen before no second time."""
-    total = int(sketch.sum())
+    total = float(sketch.sum())
     load = total / COUNTERS
     # Sums of counters are at most the shingles of a prefix times this, by partition.
     mean = max(1.0, 0.27 * total / partitions)
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)
+    shared = docs.sparkSession.sparkContext.broadcast(sketch.astype(np.float32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = shared.value, set()
@@ -280,13 +283,14 @@ def _similar(sets: list[np.ndarray], size: int = 4096) -> np.ndarray:
     owner, column = owner[held], column[inverse[held]]
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
+    size = min(size, max(64, (1 << 22) // len(sets)))
     shared = np.zeros((len(sets), len(sets)), np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, size):
         a, b = np.searchsorted(column, [at, at + size])
         table = np.zeros((len(sets), size), np.float32)
         table[owner[a:b], column[a:b] - at] = 1
         shared += table @ table.T
-    return (shared > 0) & (100 * shared.astype(np.int64) >= SIMILAR * (n[:, None] + n[None, :] - shared.astype(np.int64)))
+    return (shared > 0) & ((100 + SIMILAR) * shared.astype(np.float64) >= SIMILAR * (n[:, None] + n[None, :]))
 
 
 def _forest(near: np.ndarray) -> list[tuple[int, int]]:
@@ -305,33 +309,67 @@ def _forest(near: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _group_links(groups: DataFrame, docs: DataFrame, partitions: int) -> DataFrame:
-    """(a, b) links that connect all similar members of each group (id, cluster), whole sets compared.
+#: Sets that are compared in one table of pairs; more of them are compared table by table.
+TILE = 1024
 
-    A group of any size is cut into blocks of about ``BLOCK`` documents, and every two blocks are a piece of work of its own
-    that returns a spanning forest: rows grow by the number of blocks, results stay in proportion to the rows.
-    """
-    sizes = groups.groupBy("cluster").agg(F.count("*").alias("size"))
-    dealt = groups.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("long")).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    paired = paired.select("id", "cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
-    filled = paired.join(_sets(docs, groups.select("id").distinct()), "id")
+
+def _linked(ids: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links that connect all similar ones of these sets; the smallest ids are the hubs."""
+    order = np.argsort(ids, kind="stable")
+    tiles = [order[at : at + TILE // 2] for at in range(0, len(order), TILE // 2)]
+    for i, one in enumerate(tiles):
+        for two in tiles[i + 1 :] or ([order[:0]] if len(tiles) == 1 else []):
+            both = np.concatenate((one, two))
+            links = np.array(_forest(_similar([sets[k] for k in both])), np.int64).reshape(-1, 2)
+            yield ids[both[links[:, 0]]], ids[both[links[:, 1]]]
+
+
+def _compared(pieces: DataFrame, docs: DataFrame, partitions: int) -> DataFrame:
+    """(a, b) links that connect all similar members of each piece (cluster, x, y, id), whole sets compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in runs(batches, ["cluster", "x", "y"]):
-            ids = rows.column("id").to_pylist()
-            if len(set(ids)) < 2:
+            if rows.num_rows < 2:
                 continue
-            sets = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-            links = _forest(_similar(sets))
-            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], names=["a", "b"])
+            held = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
+            for a, b in _linked(rows.column("id").to_numpy(), held):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    placed = filled.select("cluster", "x", "y", "id", "hashes").repartition(partitions, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
+    placed = pieces.join(_sets(docs, pieces.select("id").distinct()), "id").select("cluster", "x", "y", "id", "hashes").repartition(partitions, "cluster", "x", "y").sortWithinPartitions("cluster", "x", "y")
     return placed.mapInArrow(run, "a long, b long").filter("a <> b").distinct()
 
 
+def _group_links(groups: DataFrame, docs: DataFrame, partitions: int, scratch: Scratch) -> DataFrame:
+    """(a, b) links that connect all similar members of each group (id, n, cluster).
+
+    A group is cut into blocks of about ``BLOCK`` shingles. First, members of a block are compared; groups of several blocks are
+    dealt anew and compared again. Members that are then not of the component that most are of meet every block of the group.
+    """
+    sizes = scratch.keep(groups.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK).cast("long").alias("blocks")), "sizes")
+    dealt = groups.join(sizes, "cluster").select("id", "cluster", "blocks")
+    block = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks"))
+    once = dealt.select("id", "cluster", block(1).alias("x"), F.lit(1).cast("long").alias("y"))
+    twice = dealt.filter("blocks > 1").select("id", "cluster", block(2).alias("x"), F.lit(2).cast("long").alias("y"))
+    links = scratch.keep(_compared(once.unionByName(twice), docs, partitions), "links")
+    if sizes.filter("blocks > 1").isEmpty():
+        return links
+    labels = scratch.keep(components(links, scratch), "labels")
+    named = scratch.keep(dealt.filter("blocks > 1").join(labels, "id", "left").select("id", "cluster", "blocks", F.coalesce("component", "id").alias("label")), "named")
+    counted = named.groupBy("cluster", "label").agg(F.count("*").alias("times")).groupBy("cluster").agg(F.max_by("label", F.struct("times", "label")).alias("main"), F.sum("times").alias("all"), F.max("times").alias("most"))
+    counted = scratch.keep(counted.filter("most < all"), "counted")
+    if counted.isEmpty():
+        return links
+    # The others of a group are blocks (x) of their own; each meets every block (y) of the whole group.
+    left = named.join(counted, "cluster").withColumn("others", F.ceil(F.col("blocks") * (F.col("all") - F.col("most")) / F.col("all")).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = left.filter("label <> main").select("id", "cluster", F.pmod(F.xxhash64(F.lit(3), "id"), F.col("others")).alias("x"), every("blocks").alias("y"))
+    all_ = left.select("id", "cluster", every("others").alias("x"), block(1).alias("y"))
+    more = scratch.keep(_compared(scratch.keep(own.unionByName(all_).distinct(), "pieces"), docs, partitions), "links")
+    return links.unionByName(more)
+
+
 def _verified(tries: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (a, b) whose whole sets are similar."""
+    """The (a, b, label_a, label_b) rows whose whole sets are similar."""
     sets = _sets(docs, tries.select(F.col("a").alias("id")).unionByName(tries.select(F.col("b").alias("id"))))
     one, two = (sets.select(F.col("id").alias(side), F.col("hashes").alias(f"set_{side}")) for side in "ab")
 
@@ -345,9 +383,75 @@ def _verified(tries: DataFrame, docs: DataFrame) -> DataFrame:
                 shared = int(np.count_nonzero(both[1:] == both[:-1]))
                 if shared and 100 * shared >= SIMILAR * (len(x) + len(y) - shared):
                     good.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(good, pa.int64()))
+            yield batch.select(["label_a", "label_b"]).take(pa.array(good, pa.int64()))
+
+    return tries.join(two, "b").join(one, "a").select("label_a", "label_b", "set_a", "set_b").mapInArrow(run, "label_a long, label_b long").distinct()
+
+
+NAMED = ["token", "rep", "cluster", "label", "meta"]
 
-    return tries.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+
+def _mixed(named: DataFrame, partitions: int) -> DataFrame:
+    """Distinct rows of the buckets that hold several components and groups, with the bucket's ``size``; a task holds one bucket at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: list[np.ndarray]) -> pa.RecordBatch:
+            order = np.lexsort((rows[4], rows[1], rows[0]))
+            rows = [x[order] for x in rows]
+            new = np.ones(len(order), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1]) | (rows[4][1:] != rows[4][:-1])
+            rows = [x[new] for x in rows]
+            first = np.flatnonzero(np.concatenate(([True], rows[0][1:] != rows[0][:-1])))
+            size = np.diff(np.append(first, len(rows[0])))
+            several = [np.minimum.reduceat(x, first) < np.maximum.reduceat(x, first) for x in (rows[2], rows[3])]
+            keep = np.repeat(several[0] & several[1], size)
+            return pa.RecordBatch.from_arrays([*(pa.array(x[keep]) for x in rows), pa.array(np.repeat(size, size)[keep])], names=[*NAMED, "size"])
+
+        held: list[np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = [batch.column(c).to_numpy() for c in NAMED]
+            if held is not None:
+                now = [np.concatenate(x) for x in zip(held, now)]
+            other = np.flatnonzero(now[0] != now[0][-1])
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield done([x[:cut] for x in now])
+            held = [x[cut:] for x in now]
+        if held is not None and len(held[0]):
+            yield done(held)
+
+    return named.repartition(partitions, "token").sortWithinPartitions("token").mapInArrow(run, ", ".join(f"{c} long" for c in [*NAMED, "size"]))
+
+
+def _left(found: DataFrame, known: DataFrame, partitions: int, scratch: Scratch) -> DataFrame:
+    """(token, rep, cluster, label, n, place, l, size): what the buckets hold of pairs that may still join components."""
+    meta = F.col("meta").bitwiseAND(F.lit(~(((1 << RANK_BITS) - 1) << L_BITS))).alias("meta")
+    named = found.select("token", "salt", "id", meta).join(known, "id").select("salt", *NAMED)
+    hot = scratch.keep(named.filter("salt >= 0").select(*NAMED).distinct(), "hot")
+    sizes = hot.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), F.min("cluster").alias("c1"), F.max("cluster").alias("c2"))
+    sizes = scratch.keep(sizes.filter("low < high AND c1 < c2").select("token", "size"), "sizes")
+    rows = _mixed(named.filter("salt < 0").select(*NAMED), partitions).unionByName(hot.join(sizes, "token"))
+    return scratch.keep(rows.select("token", "rep", "cluster", "label", _meta("n").alias("n"), _meta("place").alias("place"), _meta("l").alias("l"), "size"), "left")
+
+
+def _tries(left: DataFrame) -> DataFrame:
+    """(a, b, label_a, label_b) pairs of different components and groups that share enough prefix tokens early enough."""
+    caps = left.groupBy("rep", "n").agg(F.min("place").alias("from"))
+    # Without a token of its own base prefix in some bucket, a set can't reach the overlap.
+    capped = left.join(caps, ["rep", "n"]).withColumn("cap", F.col("n") - F.col("from")).filter(F.col("cap") >= F.ceil(F.lit(SIMILAR) * F.col("n") / F.lit(100)))
+    blocks = F.ceil(F.col("size") / BUCKET_BLOCK).cast("long")
+    own = F.pmod(F.xxhash64("rep"), blocks)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
+    side = lambda s, x, y: capped.select("token", x.alias("x"), y.alias("y"), *(F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "place", "l", "label", "cap", "cluster")))
+    need = F.ceil(F.lit(SIMILAR) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + SIMILAR))
+    apart = (F.col("cluster_a") != F.col("cluster_b")) & (F.col("cluster_a") != F.col("rep_b")) & (F.col("cluster_b") != F.col("rep_a"))
+    fits = (F.col("label_a") < F.col("label_b")) & apart & (F.least("cap_a", "cap_b") >= need)
+    pairs = side("a", own, other).join(side("b", other, own), ["token", "x", "y"]).filter(fits)
+    pairs = pairs.groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count("*").alias("met"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"), F.min(F.least("l_a", "l_b")).alias("l"), F.min("label_a").alias("label_a"), F.min("label_b").alias("label_b"))
+    pairs = pairs.filter((F.col("met") >= F.col("l")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need))
+    return pairs.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"), "label_a", "label_b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -355,55 +459,55 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     scratch = Scratch(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = bounded(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     first = scratch.keep(_first_pass(docs), "sets")
     sketch = total_counts(first.filter("slice IS NOT NULL").select("slice", "counts"))
     rows = first.filter("slice IS NULL").select("doc_id", "n", "k1", "k2")
     filled = rows.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"))
-    members = scratch.keep(filled.join(reps, ["k1", "k2", "n"]).select("doc_id", "rep"), "members")
+    reps = scratch.keep(filled.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep")), "reps")
+    members = scratch.keep(filled.join(reps, ["k1", "k2", "n"]).select("doc_id", "rep", "n").distinct(), "members")
+    scratch.drop(reps)
 
     found = scratch.keep(_buckets(_postings(docs, sketch, partitions), partitions), "buckets")
     scratch.release()
     # Salted tokens: the pivot of all salts.
     top = found.filter("salt >= 0").groupBy("token").agg(F.max(F.struct(_meta("rank").alias("rank"), (-F.col("pivot")).alias("least"))).alias("top")).select("token", (-F.col("top.least")).alias("all"))
+    top = scratch.keep(top, "top")
     n = _meta("n").alias("n")
     tried = found.filter("salt < 0").select("id", "pivot", n).unionByName(found.filter("salt >= 0").join(top, "token").select("id", F.col("all").alias("pivot"), n))
-    met = tried.groupBy("id", "pivot").agg(F.count("*").alias("met"), F.max("n").alias("n")).filter(F.col("met") * GROUP_SHARE >= F.col("n"))
-    rep_of = lambda name, as_: members.select(F.col("doc_id").alias(name), F.col("rep").alias(as_))
-    best = met.filter("id <> pivot").groupBy("id").agg(F.max_by("pivot", F.struct("met", -F.col("pivot"))).alias("pivot"))
+    met = tried.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("met"), F.max("n").alias("n")).filter(F.col("met") * GROUP_SHARE >= F.col("n"))
+    rep_of = lambda name, as_: members.select(F.col("doc_id").alias(name), F.col("rep").alias(as_)).distinct()
+    best = met.groupBy("id").agg(F.max_by("pivot", F.struct("met", -F.col("pivot"))).alias("pivot"))
     # A document's group is that of its pivot; a pivot belongs to its own group too.
     stars = scratch.keep(best.join(rep_of("id", "b"), "id").join(rep_of("pivot", "a"), "pivot").filter("a <> b").groupBy("b").agg(F.min("a").alias("a")), "stars")
-    groups = stars.select(F.col("b").alias("id"), F.col("a").alias("cluster")).unionByName(stars.select(F.col("a").alias("id"), F.col("a").alias("cluster")).distinct())
-    same = members.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    links = scratch.keep(_group_links(groups, docs, partitions).unionByName(same.distinct()), "links")
+    scratch.drop(top)
+    sized = members.filter("doc_id = rep").groupBy("rep").agg(F.max("n").alias("n"))
+    groups = stars.select(F.col("b").alias("rep"), F.col("a").alias("cluster")).unionByName(stars.select(F.col("a").alias("rep"), F.col("a").alias("cluster")).distinct())
+    groups = scratch.keep(groups.join(sized, "rep").select(F.col("rep").alias("id"), "n", "cluster"), "groups")
+    # An id with several texts is one node: its classes are linked.
+    twins = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("doc_id", "a")
+    twins = members.join(scratch.keep(twins, "twins"), "doc_id").select("a", F.col("rep").alias("b")).filter("a <> b")
+    links = scratch.keep(_group_links(groups, docs, partitions, scratch).unionByName(twins).distinct(), "links")
     scratch.release()
     labels = scratch.keep(components(links, scratch), "labels")
 
     # What is left: pairs of different components and groups in a bucket.
-    known = members.select(F.col("doc_id").alias("id"), "rep").distinct().join(stars.select(F.col("b").alias("rep"), F.col("a").alias("cluster")), "rep", "left").select("id", "rep", F.coalesce("cluster", "rep").alias("cluster"))
-    known = scratch.keep(known.join(labels, "id", "left").select("id", "rep", "cluster", F.coalesce("component", "id").alias("label")), "known")
-    named = found.select("token", "id", _meta("n").alias("n"), _meta("place").alias("place"), _meta("l").alias("l")).join(known, "id")
-    named = named.groupBy("token", "rep", "cluster", "label", "n", "l", "place").agg(F.min("id").alias("id"))
-    mixed = named.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("cluster").alias("c1"), F.max("cluster").alias("c2")).filter("low < high AND c1 < c2").select("token")
-    left = scratch.keep(named.join(mixed, "token"), "left")
-    caps = left.groupBy("id").agg(F.min("place").alias("from"))
-    capped = left.join(caps, "id").withColumn("cap", F.col("n") - F.col("from"))
-    side = lambda s: capped.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "n", "place", "l", "label", "cap", "cluster", "rep")))
-    need = F.ceil(F.lit(SIMILAR) * (F.col("n_a") + F.col("n_b")) / F.lit(100 + SIMILAR))
-    apart = (F.col("cluster_a") != F.col("cluster_b")) & (F.col("cluster_a") != F.col("rep_b")) & (F.col("cluster_b") != F.col("rep_a"))
-    fits = (F.col("label_a") < F.col("label_b")) & apart & (F.least("cap_a", "cap_b") >= need)
-    pairs = side("a").join(side("b"), "token").filter(fits).groupBy("id_a", "id_b").agg(F.count("*").alias("met"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.first(F.least("l_a", "l_b")).alias("l"))
-    pairs = pairs.filter((F.col("met") >= F.col("l")) & (F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= need))
-    rest = pairs.join(rep_of("id_a", "x"), "id_a").join(rep_of("id_b", "y"), "id_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct()
-    rest = scratch.keep(rest, "rest")
-    scratch.drop(found, left)
+    classes = members.select("rep").distinct().join(stars.select(F.col("b").alias("rep"), F.col("a").alias("cluster")), "rep", "left").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    classes = scratch.keep(classes.select("rep", F.coalesce("cluster", "rep").alias("cluster"), F.coalesce("component", "rep").alias("label")), "classes")
+    known = scratch.keep(members.select(F.col("doc_id").alias("id"), "rep").distinct().join(classes, "rep"), "known")
+    scratch.drop(groups, stars, links, classes)
+    left = _left(found, known, partitions, scratch)
+    scratch.drop(found)
+    scratch.release()
+    tries = scratch.keep(_tries(left), "tries")
+    scratch.drop(left)
+    more = scratch.keep(_verified(tries, docs).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")), "more")
     scratch.release()
-    more = _verified(rest, docs)
-    graph = labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more)
-    final = scratch.keep(components(graph, scratch), "final")
-    nodes = rows.join(final.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    return nodes.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    joined = scratch.keep(components(more, scratch), "joined")
+    final = known.select(F.col("id").alias("doc_id"), F.col("label").alias("id")).distinct().join(joined, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component")).distinct()
+    final = scratch.keep(final, "final")
+    scratch.drop(known, tries, more, joined, labels, members)
+    return rows.join(final, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
