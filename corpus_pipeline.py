@@ -34,10 +34,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of similar ones, that with the smallest doc_id; repeated rows of an id are one document."""
+    """Keeps one document of each component of similar ones, that with the smallest doc_id.
+
+    Rows with equal id and text are one document, with the least (lang, source, n_chars) of theirs; an id with different
+    texts keeps each of them, as none may be lost that isn't similar; rows without an id are all kept.
+    """
     found = neardup_texts.near_duplicates(docs)
     kept = Scratch(spark).keep(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    alone = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text"), rest).select("doc_id", "text", "rest.*")
+    return alone.unionByName(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +64,7 @@ STAGES = [
     ("byte-level BPE encoding and decoding", tokens),
 ]
 
-#: Trained models and random projections can't be said in SQL; tests hold the result against a plain version.
+#: Trained models can't be said in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
