@@ -2,9 +2,13 @@
 
 A page is read into a flat list of elements and texts by one tokeniser. Each element hashes its subtree; Spark counts
 on how many distinct pages of a host a hash occurs, and elements that recur on most of them are template and are
-deleted, outside of the article and inside it. Elements whose names, roles or classes say navigation, header, footer, sidebar, notice,
-advert, form, script, style or comment are deleted on any page. What is left in the article (or in the body, if
-there is no article) is the main text: a line for each block.
+deleted, outside of the article and inside it. Elements whose names or roles say navigation, footer, sidebar, form, script, style or
+the like are deleted on any page, and so are those whose classes or ids say so: outside of the article by parts of
+names, inside it only containers with exactly such a class. What is left in all articles of the page (in the main element if it
+has more text outside of them, in the body if there is neither) is the main text: a line for each block.
+
+The tokeniser goes through a page once. A tag ends at the first ">" outside of quotes; from the first tag on whose quotes
+don't close, quotes are ignored. Elements below ``DEPTH`` open ones have no children, as in browsers.
 
 Counting distinct pages: pages of a host with the same whole html count once, so copies of an article don't make it
 template. Inside an article or main element, pages whose main part is the same count once, whole blocks (not headings,
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +32,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from disputa.llm.common import Scratch, steps, table
+from disputa.llm.common import Scratch, bounded, steps, table
 
 #: A subtree is template from this share of a host's distinct pages on, if the host has this many; inside main parts, this many of them.
 TEMPLATE_SHARE, LEAST_PAGES, LEAST_MAIN = 0.5, 5, 10
+#: Most open elements.
+DEPTH = 512
 
 # Fixed values of the markup language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,7 +50,7 @@ CLOSES_P = BLOCKS - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "op
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "optgroup": {"option", "optgroup"}, "tbody": {"tr", "td", "th", "thead", "tbody"}, "tfoot": {"tr", "td", "th", "tbody"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}, "optgroup": {"select"}}
 #: Names of elements that never hold main text.
-DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input label fieldset iframe object embed svg canvas audio video map dialog menu title xmp noembed noframes math search".split())
+DROPPED = frozenset("head script style noscript template nav footer aside form button select textarea input label fieldset iframe object embed svg canvas audio video map dialog menu title xmp noembed noframes search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist status".split())
 #: Words of classes and ids that say the same.
 _WORDS = re.compile(
@@ -52,7 +59,11 @@ _WORDS = re.compile(
     r"footer\w*|foot|header|masthead|topbar|toolbar|site-header|page-header|skip-link|search\w*|tags|tagcloud|byline-ad|disclaimer|copyright)(?=$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)[^<>]*$", re.S)
+#: Classes that say the same of a container inside an article; longer names may be the article's own words.
+_INSIDE = frozenset("ad ads advert adverts advertisement adsbygoogle banner promo sponsored sponsor cookie-notice cookie-banner newsletter subscribe paywall nav navigation menu breadcrumb breadcrumbs pagination sidebar widget related related-posts related-articles share sharing share-bar share-buttons social social-share comments comment-list comment-section commentlist site-footer site-header".split())
+_CONTAINERS = frozenset("div section ul ol dl table".split())
+_NAME = re.compile(r"[A-Za-z][^\s/>\x00]*")
+_INNER = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -73,6 +84,7 @@ class Page:
         self.names: list[str] = []
         self.dropped: list[bool] = []
         self.spans: list[list[int]] = []
+        self._main = 0  # open article and main elements
         self._read(source)
 
     def _begin(self, name: str, attributes: str) -> int:
@@ -81,41 +93,64 @@ class Page:
         if not drop and attributes and "=" in attributes or attributes and "hidden" in attributes:
             for key, *values in _ATTRIBUTE.findall(attributes):
                 key, value = key.lower(), next((v for v in values if v), "")
-                if key in ("class", "id") and name not in ("body", "html", "article", "main") and _WORDS.search(value) or key == "role" and value.lower() in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                if key in ("class", "id") and name not in ("body", "html", "main"):
+                    drop |= (name in _CONTAINERS and not _INSIDE.isdisjoint(value.lower().split())) if self._main else bool(_WORDS.search(value))
+                elif key == "role" and value.lower() in DROPPED_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                     drop = True
         self.names.append(name)
         self.dropped.append(drop)
         self.spans.append([len(self.events), -1])
         self.events.append((OPEN, name, index))
+        self._main += name in ("article", "main")
         return index
 
     def _end(self, index: int) -> None:
         self.spans[index][1] = len(self.events)
         self.events.append((CLOSE, self.names[index], index))
+        self._main -= self.names[index] in ("article", "main")
 
     def _read(self, source: str) -> None:
         stack: list[int] = []
+        opened: Counter[str] = Counter()
         names, events = self.names, self.events
 
         def close_to(depth: int) -> None:
             while len(stack) > depth:
+                opened[names[stack[-1]]] -= 1
                 self._end(stack.pop())
 
-        at, size = 0, len(source)
+        at, size, last, quoted = 0, len(source), source.rfind(">"), True
+        text = 0  # where the text that no event has begins
         while at < size:
-            found = _TAG.search(source, at)
-            if not found:
-                events.append((TEXT, source[at:], -1))
+            start = source.find("<", at)
+            if start < 0:
                 break
-            if found.start() > at:
-                events.append((TEXT, source[at : found.start()], -1))
-            at = found.end()
-            name = found[2]
+            closing = source.startswith("/", start + 1)
+            found = _NAME.match(source, start + 1 + closing)
+            if found:
+                if found.end() > last:  # no tag ends here or later
+                    size = start
+                    break
+                end = _INNER.match(source, found.end()).end() if quoted else 0
+                if not quoted or end >= len(source) or source[end] != ">":
+                    quoted, end = False, source.find(">", found.end())
+                name, attributes, stop = found[0].lower(), source[found.end() : end], end + 1
+            elif source.startswith("!--", start + 1):
+                end = source.find("-->", start + 4)
+                name, stop = None, end + 3 if end >= 0 else len(source)
+            elif source[start + 1 : start + 2] in ("!", "?") and source[start + 1 : start + 2]:
+                end = source.find(">", start)
+                name, stop = None, end + 1 if end >= 0 else len(source)
+            else:
+                at = start + 1
+                continue
+            if start > text:
+                events.append((TEXT, source[text:start], -1))
+            at = text = stop
             if name is None:
                 continue
-            name = name.lower()
-            if found[1]:
-                for k in range(len(stack) - 1, -1, -1):
+            if closing:
+                for k in range(len(stack) - 1, -1, -1) if opened[name] else ():
                     if names[stack[k]] == name:
                         close_to(k)
                         break
@@ -137,45 +172,69 @@ class Page:
                         break
                     if here in SAME[name]:
                         close_to(k)
-            attributes = found[3]
             index = self._begin(name, attributes)
             if name in VOID or attributes.endswith("/") and name not in BLOCKS and name not in RAW and name not in ("b", "i", "em", "strong", "span", "a"):
                 self._end(index)
             elif name in RAW:
                 end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                stop = end.start() if end else size
+                stop = end.start() if end else len(source)
                 if stop > at:
                     events.append((TEXT, source[at:stop], -1))
-                at = end.end() if end else size
+                at = text = end.end() if end else len(source)
+                self._end(index)
+            elif len(stack) >= DEPTH:
                 self._end(index)
             else:
                 stack.append(index)
+                opened[name] += 1
+        if size > text:
+            events.append((TEXT, source[text:size], -1))
         close_to(0)
 
-    def article(self) -> tuple[int, int]:
-        """The events of the main part: the article or main element with most text, else all."""
-        best, most = (0, len(self.events)), -1
+    def parts(self) -> list[tuple[int, int]]:
+        """The events of the main parts in page order: all outermost articles, or the outermost main elements if these hold more text outside of articles, else all.
+
+        Parts inside dropped elements don't count; an article whose class says boilerplate only does where no other one is.
+        """
+        whole = [(0, len(self.events))]
         if "article" not in self.names and "main" not in self.names:
-            return best
+            return whole
+        found: dict[str, list[tuple[int, int]]] = {"article": [], "main": []}
+        named: list[tuple[int, int]] = []
+        until, skipped = {"article": 0, "main": 0}, 0
+        for index, name in enumerate(self.names):
+            a, b = self.spans[index]
+            if a < skipped:
+                continue
+            if name in found and a >= until[name]:
+                if self.dropped[index]:
+                    named += [(a, b + 1)] * (name == "article")
+                    skipped = b
+                else:
+                    found[name].append((a, b + 1))
+                    until[name] = b
+            elif self.dropped[index]:
+                skipped = b
         sizes = np.concatenate(([0], np.cumsum([len(t) if k == TEXT else 0 for k, t, _ in self.events])))
-        for wanted in ("article", "main"):
-            for index, name in enumerate(self.names):
-                if name == wanted and not self.dropped[index]:
-                    a, b = self.spans[index]
-                    if sizes[b] - sizes[a] > most:
-                        best, most = (a, b + 1), sizes[b] - sizes[a]
-            if most >= 0:
-                return best
-        return best
+        held = lambda spans: int(sum(sizes[b] - sizes[a] for a, b in spans))
+        articles, mains = found["article"] or ([] if found["main"] else sorted(named, key=lambda x: held([x]))[-1:]), found["main"]
+        inner = [(a, b) for a, b in articles if any(x <= a and b <= y for x, y in mains)]
+        if articles and held(mains) - held(inner) <= held(articles):
+            return articles
+        return mains or whole
 
     def subtrees(self) -> tuple[dict[int, int], dict[int, int], int]:
-        """Hashes of the elements that hold text, by index: those outside of the main part and whole blocks inside it; and the hash of the main part.
+        """Hashes of the elements that hold text, by index: those outside of the main parts and whole blocks inside them; and the hash of the main parts.
 
         The same subtree has different hashes outside and inside.
         """
-        a, b = self.article()
-        whole = (a, b) == (0, len(self.events))
-        outside, inside, main, open_hashes = {}, {}, 0, []
+        parts, n = self.parts(), len(self.events)
+        whole = parts == [(0, n)]
+        within, begun = np.zeros(n + 1, np.int8), np.zeros(n + 1, np.int64)
+        for a, b in [] if whole else parts:
+            within[a:b], begun[a + 1] = 1, 1
+        within, begun, ends = within.tolist(), np.cumsum(begun).tolist(), {} if whole else dict(parts)
+        outside, inside, mains, open_hashes = {}, {}, [], []
         for place, (kind, value, index) in enumerate(self.events):
             if kind == OPEN:
                 open_hashes.append([f"<{value}"])
@@ -183,29 +242,30 @@ class Page:
                 if open_hashes and (text := _SPACE.sub(" ", value).strip()):
                     open_hashes[-1].append(text)
             else:
-                parts = open_hashes.pop()
-                if len(parts) > 1:
-                    got = xxhash.xxh3_64_intdigest("\x01".join(parts)) - (1 << 63)
+                held = open_hashes.pop()
+                if len(held) > 1:
+                    got = xxhash.xxh3_64_intdigest("\x01".join(held)) - (1 << 63)
                     if open_hashes:
                         open_hashes[-1].append(f"{got:x}")
                     start = self.spans[index][0]
-                    if not whole and start == a:
-                        main = got
-                    elif not whole and a < start and place < b - 1:
+                    if ends.get(start) == place + 1:
+                        mains.append(got)
+                    elif within[place]:
                         if value in WHOLE and not self.dropped[index]:
                             inside[index] = ~got
-                    elif (whole or not (start <= a and place >= b - 1)) and value not in ("html", "body", "head"):
+                    elif (whole or begun[place + 1] == begun[start]) and value not in ("html", "body", "head"):
                         outside[index] = got
+        main = mains[0] if len(mains) == 1 else xxhash.xxh3_64_intdigest(repr(mains)) - (1 << 63) if mains else 0
         return outside, inside, main
 
     def text(self, template: set[int] | frozenset[int] = frozenset()) -> str:
-        """The blocks of the main part without dropped and template elements."""
-        a, b = self.article()
+        """The blocks of the main parts without dropped and template elements."""
+        parts = self.parts()
         outside, inside, _ = self.subtrees() if template else ({}, {}, 0)
         hashes = outside | inside
         blocks, line, skip = [], [], 0
         names, dropped = self.names, self.dropped
-        header_ok = (a, b) != (0, len(self.events))
+        header_ok = parts != [(0, len(self.events))]
 
         def flush() -> None:
             if line:
@@ -213,24 +273,26 @@ class Page:
                     blocks.append(text)
                 line.clear()
 
-        for place in range(a, b):
-            kind, value, index = self.events[place]
-            if kind == TEXT:
-                if not skip:
-                    line.append(value)
-                continue
-            gone = dropped[index] or value == "header" and not header_ok or index in hashes and hashes[index] in template
-            if kind == OPEN:
-                if not skip and names[index] in BLOCKS:
-                    flush()
-                if not skip and value == "br":
-                    line.append(" ")
-                skip += gone
-            else:
-                skip -= gone
-                if not skip and value in BLOCKS:
-                    flush()
-        flush()
+        for a, b in parts:
+            own = self.events[a][2] if header_ok else -1  # a part is kept, whatever its own class says
+            for place in range(a, b):
+                kind, value, index = self.events[place]
+                if kind == TEXT:
+                    if not skip:
+                        line.append(value)
+                    continue
+                gone = index != own and (dropped[index] or value == "header" and not header_ok or index in hashes and hashes[index] in template)
+                if kind == OPEN:
+                    if not skip and names[index] in BLOCKS:
+                        flush()
+                    if not skip and value == "br":
+                        line.append(" ")
+                    skip += gone
+                else:
+                    skip -= gone
+                    if not skip and value in BLOCKS:
+                        flush()
+            flush()
         return "\n".join(blocks)
 
 
@@ -252,7 +314,7 @@ def _subtree_rows(pages: DataFrame, url: str, html: str) -> DataFrame:
                             hashes += found
                 yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(sides, pa.bool_()), pa.array(keys, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "inside", "page", "subtree"])
 
-    return pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, inside boolean, page long, subtree long")
+    return bounded(pages).select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, "host string, inside boolean, page long, subtree long")
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", share: float = TEMPLATE_SHARE, least: int = LEAST_PAGES, least_main: int = LEAST_MAIN) -> DataFrame:
