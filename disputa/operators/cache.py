@@ -73,9 +73,10 @@ def retried(ask: Callable, texts: list[str], tries: int = 4, first: float = 1.0,
 
 
 def priced(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """usage (id, model, tokens) with the price of the longest name that begins the model's name; prices are few and broadcast if small."""
-    hit = usage.join(prices, F.startswith(usage["model"], prices["name"]), "left")
-    return hit.groupBy(*[usage[c] for c in usage.columns]).agg(F.max_by(F.struct(*[c for c in prices.columns]), F.length("name")).alias("price"))
+    """Every row of usage (model, ...) with the price of the longest name that begins the model's name; names are matched once for each model."""
+    models = usage.select("model").distinct()
+    hit = models.join(prices, F.startswith(models["model"], prices["name"]), "left").groupBy("model").agg(F.max_by(F.struct(*prices.columns), F.length("name")).alias("price"))
+    return usage.join(hit, "model", "left").select(*usage.columns, "price")
 
 
 def cost(input_tokens: Column, cached_tokens: Column, output_tokens: Column, price: Column) -> Column:

@@ -148,7 +148,7 @@ def _split(x: np.ndarray, judges: int) -> tuple[np.ndarray, float, np.ndarray, n
     return _softplus(x[:N]), x[N], np.exp(x[N + 1 : N + 1 + judges]), np.exp(x[N + 1 + judges : N + 1 + 2 * judges]), x[N + 1 + 2 * judges :]
 
 
-def objective(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray, judge: np.ndarray, order: np.ndarray, answer: np.ndarray, judges: int, ridge: float = 0.5, shrink: float = 0.01) -> tuple[float, np.ndarray]:
+def objective(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray, judge: np.ndarray, order: np.ndarray, answer: np.ndarray, judges: int, ridge: float = 0.5, shrink: float = 1e-4) -> tuple[float, np.ndarray]:
     """Penalised negative log-likelihood and its gradient. x: raw costs, theta_neg, log beta, log tau, pi of each judge."""
     theta, theta_neg, beta, tau, pi = _split(x, judges)
     delta = phi @ theta + extra + theta_neg * neg
@@ -168,7 +168,7 @@ def objective(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray
     return float(value), grad
 
 
-def minimise(fun, x: np.ndarray, steps: int = 500, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
+def minimise(fun, x: np.ndarray, steps: int = 5000, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
     """Limited-memory BFGS with backtracking."""
     value, grad = fun(x)
     s, y = [], []

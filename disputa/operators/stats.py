@@ -31,7 +31,7 @@ def paired(values: DataFrame, unit: str, condition: str, value: str, least: int
     """(c1, c2, unit, x, y, diff): all ordered pairs of conditions on their common units, at least ``least`` of them."""
     one = values.select(F.col(unit).alias("unit"), F.col(condition).alias("c1"), F.col(value).alias("x"))
     two = values.select(F.col(unit).alias("unit"), F.col(condition).alias("c2"), F.col(value).alias("y"))
-    both = one.join(two, "unit").filter("c1 < c2").withColumn("diff", F.col("x") - F.col("y"))
+    both = one.join(two, "unit").filter("c1 <> c2").withColumn("diff", F.col("x") - F.col("y"))
     enough = both.groupBy("c1", "c2").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("c1", "c2")
     return both.join(enough, ["c1", "c2"])
 
@@ -92,12 +92,12 @@ def bootstrap_ci(values: DataFrame, keys: list[str], value: str, order: str, rep
 
 
 def compare_all(values: DataFrame, unit: str, condition: str, metric: str, value: str, replicates: int = 500) -> DataFrame:
-    """(metric, c1, c2, n, mean_diff, low, high, z, p, p_holm, delta, magnitude) for every pair of conditions and metric."""
+    """(metric, c1, c2, n, mean_diff, low, high, z, p, p_holm, delta, magnitude) for every ordered pair of conditions and metric."""
     every = None
     keys = ["metric", "c1", "c2"]
     one = values.select(F.col(metric).alias("metric"), F.col(unit).alias("unit"), F.col(condition).alias("c1"), F.col(value).alias("x"))
     two = values.select(F.col(metric).alias("metric"), F.col(unit).alias("unit"), F.col(condition).alias("c2"), F.col(value).alias("y"))
-    both = one.join(two, ["metric", "unit"]).filter("c1 < c2").withColumn("diff", F.col("x") - F.col("y"))
+    both = one.join(two, ["metric", "unit"]).filter("c1 <> c2").withColumn("diff", F.col("x") - F.col("y"))
     base = both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("diff").alias("mean_diff")).filter("n >= 3")
     every = base.join(bootstrap_ci(both, keys, "diff", "unit", replicates), keys).join(wilcoxon(both, keys).select(*keys, "z"), keys, "left").join(cliffs_delta(both, keys), keys)
     tested = every.withColumn("z", F.coalesce("z", F.lit(0.0))).withColumn("p", F.least(F.lit(1.0), normal_tail(F.col("z"))))

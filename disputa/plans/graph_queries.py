@@ -300,12 +300,10 @@ def proposition_distance(spark: SparkSession, d: str) -> DataFrame:
 def ged_by_version(spark: SparkSession, d: str) -> DataFrame:
     g = graphs(spark, d)
     sim = _similarities(spark, d, g)
-    props = _matched(sim).select(KEY, "a", "b")
-    locutions = props.select(KEY, F.replace("a", F.lit("I"), F.lit("L")).alias("a"), F.replace("b", F.lit("I"), F.lit("L")).alias("b"))
     cos = sim.select(KEY, "a", "b", "cos")
     cos = cos.unionByName(cos.select(KEY, F.replace("a", F.lit("I"), F.lit("L")).alias("a"), F.replace("b", F.lit("I"), F.lit("L")).alias("b"), "cos"))
-    raw, cos = written(props.unionByName(locutions), "raw"), written(cos, "cos")
-    pred, gold, out = (g["pn"], g["pe"]), (g["gn"], g["ge"]), None
+    pred, gold, cos, out = (g["pn"], g["pe"]), (g["gn"], g["ge"]), written(cos, "cos"), None
+    raw = written(ged.assign_all(g["pn"], g["gn"], cos), "raw")
     derived = written(ged.derive(pred, gold, raw, KEY), "derived")
     for metric in vocab.METRICS:
         full, reduced = ged.compare(pred, gold, raw, cos, metric, derived=derived)

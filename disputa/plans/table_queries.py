@@ -14,7 +14,7 @@ from disputa.plans.testgraphs import graphs
 from disputa.sources import nodesets
 from disputa.sources.scratch import written
 
-SERIES = "WITH s AS (SELECT user_id, event_type AS c, avg(value) AS v FROM events GROUP BY ALL), b AS (SELECT x.c AS c1, y.c AS c2, x.user_id AS unit, x.v AS x, y.v AS y, x.v - y.v AS diff FROM s x JOIN s y USING (user_id) WHERE x.c < y.c) "
+SERIES = "WITH s AS (SELECT user_id, event_type AS c, avg(value) AS v FROM events GROUP BY ALL), b AS (SELECT x.c AS c1, y.c AS c2, x.user_id AS unit, x.v AS x, y.v AS y, x.v - y.v AS diff FROM s x JOIN s y USING (user_id) WHERE x.c <> y.c) "
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:

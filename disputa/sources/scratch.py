@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or a temporary one where the session names none."""
+    """The folder of spark.checkpoint.dir. Where the session names none, a local master gets a temporary one; a cluster is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="disputa-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")

@@ -131,6 +131,27 @@ def test_distance_of_small_changes(spark):
     assert [cost(gold), cost(edge(("a", "b", "attack"))), cost(edge(("b", "a", "support"))), cost(gold.limit(0))] == [0.0, 0.75, 1.0, 1.0]
 
 
+def test_all_nodes_are_assigned(spark):
+    rng = random.Random(3)
+    made = lambda kinds: [("g", i, f"n{i}", k, rng.choice(["Asserting", "Arguing", "Challenging"]) if k == "YA" else "") for i, k in enumerate(kinds)]
+    pred, gold = made(["I", "I", "L", "RA", "CA", "YA", "YA", "TA"]), made(["I", "L", "L", "MA", "RA", "YA", "TA", "TA", "I"])
+    schema = "graph_id string, pos int, node_id string, type string, scheme string"
+    cos = {(a[2], b[2]): round(rng.random(), 3) for a in pred for b in gold if a[3] == b[3] and a[3] in ("I", "L")}
+    got = ged.assign_all(spark.createDataFrame(pred, schema), spark.createDataFrame(gold, schema), spark.createDataFrame([("g", *k, v) for k, v in cos.items()], "graph_id string, a string, b string, cos double")).collect()
+    family = {"Asserting": 0, "Arguing": 0, "Challenging": 1}
+
+    def cost(a, b):
+        if a[3] == b[3]:
+            return 1 - cos[a[2], b[2]] if a[3] in ("I", "L") else 0 if a[3] != "YA" or a[4] == b[4] else 0.5 if family[a[4]] == family[b[4]] else 1
+        return 0.75 if {a[3], b[3]} <= {"RA", "CA", "MA"} else 1e6
+
+    table = np.array([[cost(a, b) for b in gold] for a in pred])
+    whole = assign.bipartite_match(table, np.ones(len(pred)), np.ones(len(gold)))
+    spent = lambda pairs: sum(table[i, j] for i, j in pairs) + len(pred) + len(gold) - 2 * len(pairs)
+    assert spent([(int(r.a[1:]), int(r.b[1:])) for r in got]) == pytest.approx(spent([(i, j) for i, j in enumerate(whole.tolist()) if j >= 0]))
+    assert len({r.a for r in got}) == len({r.b for r in got}) == len(got) and {r.graph_id for r in got} == {"g"}
+
+
 def test_statistics(spark):
     rows = spark.createDataFrame([("k", i, float(v)) for i, v in enumerate([2, 4, 4, 4, 5, 5, 7, 9])], "k string, i int, v double")
     d = stats.describe(rows, ["k"], "v").first()
