@@ -358,3 +358,33 @@ def test_prefixes_share_enough():
             size, l, _ = neardup_texts.prefix(estimates[s], 5.0)
             cut.append((s[:size], l))
         assert len(np.intersect1d(cut[0][0], cut[1][0])) >= min(cut[0][1], cut[1][1])
+
+
+def test_groups_and_buckets_of_many_blocks(spark, monkeypatch):
+    rng = random.Random(12)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for i in range(90):  # a group whose members are similar to some of the others only
+        words = list(base)
+        for _ in range(rng.randint(0, 3)):
+            words[rng.randrange(60)] = f"x{rng.randint(0, 30)}"
+        texts.append(" ".join(words))
+    for i in range(40):  # other texts that all begin alike
+        texts.append(" ".join(base[:9] + [f"y{rng.randint(0, 60)}" for _ in range(12)]))
+    texts += texts[95:99] + [texts[3]]
+    monkeypatch.setattr(neardup_texts, "BLOCK", 400)
+    monkeypatch.setattr(neardup_texts, "BUCKET_BLOCK", 8)
+    held = [sets(t) for t in texts]
+    links = [(a, b) for a in range(len(texts)) for b in range(a) if 100 * len(held[a] & held[b]) >= 75 * len(held[a] | held[b])]
+    want = components_of(range(len(texts)), links)
+    assert {r.doc_id: r.component_id for r in neardup_texts.near_duplicates(docs_of(spark, texts)).collect()} == want and len(set(want.values())) > 2
+
+
+def test_tiles_compare_everything(monkeypatch):
+    monkeypatch.setattr(neardup_texts, "TILE", 8)
+    rng = np.random.default_rng(4)
+    held = [np.unique(rng.choice(40, 30).astype(np.uint64)) for _ in range(37)]
+    ids = rng.permutation(37)
+    got = components_of(range(37), [(int(a), int(b)) for x, y in neardup_texts._linked(ids, held) for a, b in zip(x, y)])
+    near = lambda x, y: 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))
+    assert got == components_of(range(37), [(int(ids[i]), int(ids[j])) for i in range(37) for j in range(i) if near(held[i].tolist(), held[j].tolist())])
