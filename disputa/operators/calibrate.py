@@ -6,7 +6,8 @@ matching, and fitting works on a small table of feature differences: one row for
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -215,6 +216,44 @@ def costs(x: np.ndarray) -> np.ndarray:
     return _softplus(x[:N])
 
 
+@dataclass(frozen=True)
+class Alternated:
+    """Raw parameters, their objective under the matching that they make optimal, rounds taken, and how the rounds ended."""
+
+    x: np.ndarray
+    value: float
+    rounds: int
+    converged: bool = False
+    cycled: bool = False
+
+
+def fit_alternating(solve: Callable[[np.ndarray], tuple[pd.DataFrame, Hashable]], answers: pd.DataFrame, judges: int, warm: np.ndarray | None = None, most: int = 20) -> Alternated:
+    """Fits costs and matchings in turn: costs under fixed matchings, then matchings under the new costs.
+
+    ``solve`` gives, for costs, the feature differences (triplet_id, d0..d10, extra, neg) under the best matchings, and a
+    signature of these. Rounds end when the signature stays; if an earlier one comes back, or after ``most`` rounds, the
+    parameters with the least objective under their own best matchings are returned. answers: (triplet_id, judge, ord, answer).
+    """
+    x = start(judges) if warm is None else warm
+    frame, now = solve(costs(x))
+    seen, best = {now}, None
+    for turn in range(1, most + 1):
+        x = fit(answers.merge(frame, on="triplet_id"), judges, x)
+        frame, then = solve(costs(x))
+        rows = answers.merge(frame, on="triplet_id")
+        value, _ = objective(x, rows[[f"d{i}" for i in range(N)]].to_numpy(float), *(rows[c].to_numpy() for c in ("extra", "neg", "judge", "ord", "answer")), judges)
+        made = Alternated(x, value, turn, converged=then == now)
+        if best is None or value < best.value:
+            best = made
+        if made.converged:
+            return made
+        if then in seen:
+            return replace(best, rounds=turn, cycled=True)
+        seen.add(then)
+        now = then
+    return replace(best, rounds=most)
+
+
 def cluster_draws(sources: DataFrame, replicates: int, seed: int = 11) -> DataFrame:
     """(rep, place, source_id): sources drawn with replacement; a source drawn twice is two clusters."""
     n = sources.count()

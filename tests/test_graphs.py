@@ -192,3 +192,38 @@ def test_fit_gradient_and_edits():
     assert calibrate.objective(best, *args)[0] < calibrate.objective(x, *args)[0]
     props, links, log = calibrate.edited(["a", "b", "c"], [("a", "b", "RA")], ["R-rev", "P-add", "P-del", "X-surf", "R-del"], np.random.default_rng(1))
     assert links == [("b", "a", "RA")] and props == ["a", "b", "n1"] and [k for k, _, _ in log] == ["R-rev", "P-add", "P-del", "X-surf"]
+
+
+def test_alternating_fit_recovers_costs():
+    import pandas as pd
+
+    rng, wanted, judges = np.random.default_rng(6), np.array(calibrate.vocab.THETA), 2
+    wanted[0], wanted[1] = 1.6, 0.6
+    cells = [(f"{t}|{s}", f"a{i}", f"b{j}", rng.random()) for t in range(120) for s in "AB" for i in range(rng.integers(2, 5)) for j in range(3)]
+    cells = pd.DataFrame(cells, columns=["cmp_id", "a", "b", "cos"])
+    sizes = cells.groupby("cmp_id").a.nunique()
+
+    def solve(theta):
+        got = calibrate.rematch(cells, list(theta))
+        by = {k: v for k, v in got.groupby("cmp_id")}
+        rows = []
+        for t in range(120):
+            phi = {}
+            for s in "AB":
+                cos = by[f"{t}|{s}"].cos.to_numpy() if f"{t}|{s}" in by else np.zeros(0)
+                k = calibrate.vocab.KNOTS
+                phi[s] = [3 - len(cos), sizes[f"{t}|{s}"] - len(cos), *(np.clip((k[i] - cos) / (k[i] - k[i + 1]), 0, 1).sum() for i in range(4)), *[0] * 5]
+            rows.append((t, *np.subtract(phi["B"], phi["A"]), 0.0, 0.0))
+        names = ["triplet_id", *(f"d{i}" for i in range(11)), "extra", "neg"]
+        return pd.DataFrame(rows, columns=names), tuple(got[["cmp_id", "a", "b"]].itertuples(index=False, name=None))
+
+    truth, _ = solve(wanted)
+    delta = truth[[f"d{i}" for i in range(11)]].to_numpy(float) @ wanted
+    asked = [(t, j, o, 0 if (z := delta[t] + rng.logistic() * 0.3) > 0.5 else 1 if z < -0.5 else 2) for t in range(120) for j in range(judges) for o in (1, -1)]
+    answers = pd.DataFrame(asked, columns=["triplet_id", "judge", "ord", "answer"])
+    got = calibrate.fit_alternating(solve, answers, judges)
+    assert (got.converged or got.cycled) and got.rounds <= 20
+    found = calibrate.costs(got.x)
+    assert found[0] > found[1] and abs(found[0] / found[1] - 1.6 / 0.6) < abs(1 - 1.6 / 0.6)
+    again, signature = solve(found)
+    assert calibrate.fit_alternating(lambda theta: (again, signature), answers, judges, got.x).rounds == 1  # nothing moves: one round
