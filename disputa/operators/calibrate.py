@@ -329,12 +329,21 @@ def changes_graph(edits: Column) -> Column:
     return F.exists(edits, lambda e: ~e.isin(NO_GRAPH_CHANGE))
 
 
+def edit_bounds() -> list[tuple[str, float]]:
+    """(kind, upper end) of the kinds' pieces of [0, 1), in order; the last kind has what is left."""
+    out, below = [], 0.0
+    for kind, weight in EDIT_WEIGHTS.items():
+        below = round(below + weight, 9)
+        out.append((kind, below))
+    return out
+
+
 def edit_kind(u: Column) -> Column:
     """The kind of a uniform number, by the weights."""
-    out, above = F.lit("R-type"), 1.0
-    for kind, weight in reversed(EDIT_WEIGHTS.items()):
-        above -= weight
-        out = F.when(u < above + weight, kind).otherwise(out) if above > -1e-9 else out
+    bounds = edit_bounds()
+    out = F.lit(bounds[-1][0])
+    for kind, above in reversed(bounds[:-1]):
+        out = F.when(u < above, kind).otherwise(out)
     return out
 
 
@@ -405,18 +414,19 @@ def edited(props: list[str], links: list[tuple[str, str, str]], kinds: list[str]
 
 
 def perturb(graphs: DataFrame, edits: DataFrame, seed: int = 19) -> DataFrame:
-    """(triplet_id, side, props, links, log) of plans (triplet_id, side, step, kind) on graphs (triplet_id, props, links).
+    """(triplet_id, side, props, links, log) of plans (triplet_id, plan, side, step, kind) on graphs (triplet_id, props, links).
 
-    Edits of a variant depend on those before them, so each variant is worked off in turn; variants are packed into tasks.
+    Both variants of a T1 triplet draw alike, as A's edits are the first of B's; those of other plans draw apart. Edits of a variant depend on those before them, so each variant is worked off in turn; variants are packed into tasks.
     """
-    ordered = edits.groupBy("triplet_id", "side").agg(F.array_sort(F.collect_list(F.struct("step", "kind"))).alias("kinds")).join(graphs, "triplet_id")
+    ordered = edits.groupBy("triplet_id", "plan", "side").agg(F.array_sort(F.collect_list(F.struct("step", "kind"))).alias("kinds")).join(graphs, "triplet_id")
     text = "array<struct<a string, b string, c string>>"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for t, side, kinds, props, links in zip(*(frame[c] for c in ("triplet_id", "side", "kinds", "props", "links"))):
-                got = edited(list(props), [(x["a"], x["b"], x["c"]) for x in links], [k["kind"] for k in kinds], np.random.default_rng((seed, int(t))))
+            for t, plan, side, kinds, props, links in zip(*(frame[c] for c in ("triplet_id", "plan", "side", "kinds", "props", "links"))):
+                own = 0 if plan == "T1" or side == "A" else 1
+                got = edited(list(props), [(x["a"], x["b"], x["c"]) for x in links], [k["kind"] for k in kinds], np.random.default_rng((seed, int(t), own)))
                 pack = lambda xs: [{"a": a, "b": b, "c": c} for a, b, c in xs]
                 rows.append((t, side, got[0], pack(got[1]), pack(got[2])))
             yield pd.DataFrame(rows, columns=["triplet_id", "side", "props", "links", "log"])

@@ -10,7 +10,8 @@ from disputa.functions import graph as G
 from disputa.functions import vocab
 from disputa.operators import cache, calibrate, report, stats, text
 from disputa.plans.catalog import query
-from disputa.plans.testgraphs import graphs
+from disputa.plans.graph_queries import MATCHED
+from disputa.plans.testgraphs import duck, graphs
 from disputa.sources import nodesets
 from disputa.sources.scratch import written
 
@@ -193,6 +194,15 @@ def quantile_decision(spark: SparkSession, d: str) -> DataFrame:
     return q.select("event_type", F.round("l95", 6).alias("low"), F.round("h95", 6).alias("high"), rule.alias("decision"))
 
 
+def _u(seed: int, *parts: str) -> str:
+    """``calibrate.uniform`` as SQL."""
+    return f"(CAST(concat('0x', substr(md5(concat_ws(':', '{seed}', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+def _kind(u: str) -> str:
+    return "CASE " + " ".join(f"WHEN {u} < {above}::DOUBLE THEN '{kind}'" for kind, above in calibrate.edit_bounds()[:-1]) + f" ELSE '{calibrate.edit_bounds()[-1][0]}' END"
+
+
 def _learned(spark: SparkSession, d: str) -> DataFrame:
     """Features of predicted against gold graphs, propositions matched by id with cosines by residue."""
     g = graphs(spark, d)
@@ -203,12 +213,26 @@ def _learned(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.features(matching, props("tp"), props("tg"), edges("tp"), edges("tg"))
 
 
-@query("learned_ged_cost")
+_LEARNED = MATCHED + """, np AS (SELECT graph_id, count(*) AS n, sum(least(1, x / 0.1) * 0.1 + least(1, greatest(0, (x - 0.1) / 0.2)) * 0.2 + least(1, greatest(0, (x - 0.3) / 0.2)) * 0.2 + least(1, greatest(0, (x - 0.5) / 0.2)) * 0.2) AS sub
+FROM (SELECT graph_id, CAST((c + i) % 9 AS DOUBLE) / 10 AS x FROM tp) GROUP BY 1), ng AS (SELECT graph_id, count(*) AS n FROM tg GROUP BY 1), e AS (SELECT *, correct + mistyped + reversed AS met FROM rc)
+SELECT ng.graph_id AS cmp_id, round(CAST(ng.n - coalesce(np.n, 0) + coalesce(sub, 0) + 0.75 * coalesce(mistyped, 0) + coalesce(reversed, 0) + coalesce(gold_total - met, 0) + coalesce(pred_total - met, 0) AS DOUBLE), 6) AS cost
+FROM ng LEFT JOIN np USING (graph_id) LEFT JOIN e USING (graph_id)"""
+
+
+@query("learned_ged_cost", duck(_LEARNED))
 def learned_ged_cost(spark: SparkSession, d: str) -> DataFrame:
     return _learned(spark, d).select("cmp_id", F.round(calibrate.learned_cost(), 6).alias("cost"))
 
 
-@query("edit_plans")
+_EDITS = f"""WITH p AS (SELECT conv_id AS triplet_id, {_u(7, "conv_id")} AS u0, {_u(8, "conv_id")} AS u1, {_u(9, "conv_id")} AS u2, {_u(11, "conv_id")} AS u4 FROM (SELECT DISTINCT conv_id FROM conversations)),
+q AS (SELECT *, CASE WHEN u0 < 0.1 THEN 'T1' WHEN u0 < 0.2 THEN 'T2' WHEN u0 < 0.9 THEN 'T3' ELSE 'T4' END AS plan FROM p),
+n AS (SELECT *, CASE plan WHEN 'T1' THEN 1 + floor(u1 * 2) WHEN 'T3' THEN 1 + floor(u1 * 3) ELSE 1 END AS na, floor(u2 * CASE plan WHEN 'T1' THEN 2 ELSE 3 END) AS more FROM q),
+m AS (SELECT *, CASE plan WHEN 'T1' THEN na + 1 + more WHEN 'T2' THEN 2 WHEN 'T3' THEN 1 + more ELSE 1 END AS nb FROM n),
+e AS (SELECT *, CASE WHEN plan = 'T1' THEN {_u(10, "triplet_id", "step")} ELSE {_u(10, "triplet_id", "side", "step")} END AS u3 FROM m, (VALUES ('A'), ('B')) s(side), range(1, 8) r(step) WHERE step <= CASE side WHEN 'A' THEN na ELSE nb END)
+SELECT triplet_id, plan, side, step, CASE plan WHEN 'T2' THEN {calibrate.SAME_KIND!r}[CAST(1 + floor(u4 * {len(calibrate.SAME_KIND)}) AS INTEGER)] WHEN 'T4' THEN CASE side WHEN 'A' THEN 'X-surf' ELSE 'X-spk' END ELSE {_kind("u3")} END AS kind FROM e"""
+
+
+@query("edit_plans", _EDITS)
 def edit_plans(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.edit_plans(spark.read.parquet(f"{d}/conversations.parquet").select(F.col("conv_id").alias("triplet_id")).distinct())
 
@@ -222,7 +246,13 @@ def perturbed_graphs(spark: SparkSession, d: str) -> DataFrame:
     return out.select("triplet_id", "side", F.size("props").alias("n_props"), F.size("links").alias("n_links"), F.size("log").alias("n_edits"))
 
 
-@query("simulated_judgments")
+_SIMULATED = f"""WITH t AS (SELECT conv_id * 8 + turn AS triplet_id, CAST(turn - 3 AS DOUBLE) AS delta FROM conversations),
+z AS (SELECT triplet_id, judge, ord, delta + sqrt(-2 * ln(1 - {_u(5, "triplet_id")})) * cos(2 * pi() * {_u(6, "triplet_id")}) AS z, {_u(7, "triplet_id", "judge", "ord")} AS u2, {_u(8, "triplet_id", "judge", "ord")} AS u3, {_u(9, "triplet_id", "judge", "ord")} AS u4 FROM t, (VALUES (0), (1), (2)) a(judge), (VALUES (1), (-1)) b(ord)),
+l AS (SELECT *, 1 / (1 + exp(-(z - 0.5))) AS lean, 1 / (1 + exp(z + 0.5)) AS other FROM z)
+SELECT triplet_id, CAST(judge AS INTEGER) AS judge, CAST(ord AS INTEGER) AS ord, CAST(CASE WHEN u3 < 0.1 THEN floor(u4 * 3) WHEN u2 < lean THEN 0 WHEN u2 < lean + other THEN 1 ELSE 2 END AS INTEGER) AS answer FROM l"""
+
+
+@query("simulated_judgments", _SIMULATED)
 def simulated_judgments(spark: SparkSession, d: str) -> DataFrame:
     deltas = spark.read.parquet(f"{d}/conversations.parquet").select((F.col("conv_id") * 8 + F.col("turn")).alias("triplet_id"), (F.col("turn") - 3).cast("double").alias("delta"))
     return calibrate.simulated(deltas)
