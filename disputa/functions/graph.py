@@ -104,3 +104,19 @@ def precision_recall(tp: Column, predicted: Column, gold: Column, prefix: str =
     """precision, recall and f1, each 0 where its denominator is."""
     zero = lambda n, d: F.when(d > 0, n / d).otherwise(0.0)
     return [zero(tp, predicted).alias(f"{prefix}precision"), zero(tp, gold).alias(f"{prefix}recall"), zero(2.0 * tp, predicted + gold).alias(f"{prefix}f1")]
+
+
+def condition_label(condition: Column, prompts: Column, model: Column) -> Column:
+    """condition@prompts/model, the model without its family's prefix; the baseline has neither."""
+    tag = F.regexp_replace(model, "^gpt-", "")
+    return F.when(condition == "baseline", condition).otherwise(F.concat(condition, F.lit("@"), prompts, F.lit("/"), tag))
+
+
+def hash_vector(text: Column, size: int = 16) -> Column:
+    """A unit vector of floats made of SHA-256 of the text and each place as four little-endian bytes."""
+    word = lambda j: F.substring(F.sha2(F.concat(F.encode(text, "UTF-8"), F.unhex(F.lit(j.to_bytes(4, "little").hex()))), 256), 1, 8)
+    turned = lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1)))
+    values = F.array(*(F.conv(turned(word(j)), 16, 10).cast("double") / 4294967295.0 * 2 - 1 for j in range(size)))
+    once = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
+    unit = lambda vs, n: F.transform(vs, lambda v: F.when(n > 0, v.cast("float").cast("double") / n).otherwise(v).cast("float"))
+    return once(values, lambda vs: once(F.sqrt(F.aggregate(vs, F.lit(0.0), lambda s, v: s + v * v)), lambda n: unit(vs, n)))

@@ -17,9 +17,10 @@ from pyspark.sql import functions as F
 
 from disputa.functions import vocab
 from disputa.functions.graph import substitution_basis
-from disputa.operators.assign import bipartite_match
+from disputa.operators.assign import bipartite_match, match
 from disputa.operators.passes import both_sides, match_in_passes
 from disputa.operators.stats import draw
+from disputa.sources.scratch import written
 
 N = len(vocab.PARAMETERS)
 KEY = "cmp_id"
@@ -149,8 +150,8 @@ def _split(x: np.ndarray, judges: int) -> tuple[np.ndarray, float, np.ndarray, n
     return _softplus(x[:N]), x[N], np.exp(x[N + 1 : N + 1 + judges]), np.exp(x[N + 1 + judges : N + 1 + 2 * judges]), x[N + 1 + 2 * judges :]
 
 
-def objective(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray, judge: np.ndarray, order: np.ndarray, answer: np.ndarray, judges: int, ridge: float = 0.5, shrink: float = 1e-4) -> tuple[float, np.ndarray]:
-    """Penalised negative log-likelihood and its gradient. x: raw costs, theta_neg, log beta, log tau, pi of each judge."""
+def likelihood(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray, judge: np.ndarray, order: np.ndarray, answer: np.ndarray, judges: int, weight: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
+    """Negative log-likelihood of weighted rows and its gradient: sums over rows, so parts of a table add up. x: raw costs, theta_neg, log beta, log tau, pi of each judge."""
     theta, theta_neg, beta, tau, pi = _split(x, judges)
     delta = phi @ theta + extra + theta_neg * neg
     z = beta[judge] * delta + pi[judge] * order
@@ -158,15 +159,90 @@ def objective(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray
     a, b = 1 / (1 + np.exp(-np.clip(z - t, -500, 500))), 1 / (1 + np.exp(-np.clip(-z - t, -500, 500)))
     tie = np.maximum(1 - a - b, 1e-12)
     ll = np.where(answer == 0, -np.logaddexp(0, -(z - t)), np.where(answer == 1, -np.logaddexp(0, z + t), np.log(tie)))
-    dz = np.where(answer == 0, 1 - a, np.where(answer == 1, -(1 - b), (-a * (1 - a) + b * (1 - b)) / tie))
-    dt = np.where(answer == 0, -(1 - a), np.where(answer == 1, -(1 - b), (a * (1 - a) + b * (1 - b)) / tie))
-    gap = theta - np.array(vocab.THETA)
-    log_beta, log_tau = np.log(beta), np.log(tau)
-    value = -ll.sum() + ridge * gap @ gap + shrink * (theta_neg**2 + log_beta @ log_beta + log_tau @ log_tau + pi @ pi)
+    dz = weight * np.where(answer == 0, 1 - a, np.where(answer == 1, -(1 - b), (-a * (1 - a) + b * (1 - b)) / tie))
+    dt = weight * np.where(answer == 0, -(1 - a), np.where(answer == 1, -(1 - b), (a * (1 - a) + b * (1 - b)) / tie))
     by = lambda v: np.bincount(judge, v, judges)
-    d_theta = -(phi.T @ (dz * beta[judge])) + 2 * ridge * gap
-    grad = np.concatenate([d_theta * (1 - np.exp(-theta)), [-(dz * beta[judge] * neg).sum() + 2 * shrink * theta_neg], -by(dz * delta) * beta + 2 * shrink * log_beta, -by(dt) * tau + 2 * shrink * log_tau, -by(dz * order) + 2 * shrink * pi])
-    return float(value), grad
+    grad = np.concatenate([-(phi.T @ (dz * beta[judge])) * (1 - np.exp(-theta)), [-(dz * beta[judge] * neg).sum()], -by(dz * delta) * beta, -by(dt) * tau, -by(dz * order)])
+    return -float((weight * ll).sum()), grad
+
+
+def penalty(x: np.ndarray, judges: int, ridge: float = 0.5, shrink: float = 1e-4) -> tuple[float, np.ndarray]:
+    """What costs far from the current ones and other parameters far from 0 are charged, and its gradient."""
+    theta, theta_neg, beta, tau, pi = _split(x, judges)
+    gap, rest = theta - np.array(vocab.THETA), np.concatenate([[theta_neg], np.log(beta), np.log(tau), pi])
+    return float(ridge * gap @ gap + shrink * rest @ rest), np.concatenate([2 * ridge * gap * (1 - np.exp(-theta)), 2 * shrink * rest])
+
+
+def objective(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray, judge: np.ndarray, order: np.ndarray, answer: np.ndarray, judges: int, weight: np.ndarray | float = 1.0) -> tuple[float, np.ndarray]:
+    """Penalised negative log-likelihood and its gradient."""
+    (value, grad), (more, pull) = likelihood(x, phi, extra, neg, judge, order, answer, judges, weight), penalty(x, judges)
+    return value + more, grad + pull
+
+
+def _arguments(rows: pd.DataFrame) -> list[np.ndarray]:
+    return [rows[[f"d{i}" for i in range(N)]].to_numpy(float), *(rows[c].to_numpy() for c in ("extra", "neg", "judge", "ord", "answer"))]
+
+
+def weighted(rows: DataFrame, *keys: str) -> DataFrame:
+    """Equal rows (keys, d0..d10, extra, neg, judge, ord, answer) as one with their number as weight."""
+    return rows.groupBy(*keys, *(f"d{i}" for i in range(N)), "extra", "neg", "judge", "ord", "answer").agg(F.count("*").cast("double").alias("weight"))
+
+
+def curvature(x: np.ndarray, phi: np.ndarray, extra: np.ndarray, neg: np.ndarray, judge: np.ndarray, order: np.ndarray, answer: np.ndarray, judges: int, weight: np.ndarray) -> np.ndarray:
+    """The rows' second derivatives by z and tau, carried to the parameters: a matrix without negative eigenvalues, which adds up over parts of a table."""
+    theta, theta_neg, beta, tau, pi = _split(x, judges)
+    delta, one, steep = phi @ theta + extra + theta_neg * neg, np.eye(judges)[judge], beta[judge]
+    z, t = steep * delta + pi[judge] * order, tau[judge]
+    a, b = 1 / (1 + np.exp(-np.clip(z - t, -500, 500))), 1 / (1 + np.exp(-np.clip(-z - t, -500, 500)))
+    p, q, tie = a * (1 - a), b * (1 - b), np.maximum(1 - a - b, 1e-12)
+    both = (p * (1 - 2 * a) + q * (1 - 2 * b)) / tie
+    zz = np.select([answer == 0, answer == 1], [p, q], both + ((q - p) / tie) ** 2)
+    tt = np.select([answer == 0, answer == 1], [p, q], both + ((q + p) / tie) ** 2)
+    zt = np.select([answer == 0, answer == 1], [-p, q], (q * (1 - 2 * b) - p * (1 - 2 * a)) / tie + (q - p) * (q + p) / tie**2)
+    rest = np.zeros_like(one)
+    by_z = np.hstack([steep[:, None] * phi * (1 - np.exp(-theta)), (steep * neg)[:, None], one * (steep * delta)[:, None], rest, one * order[:, None]])
+    by_t = np.hstack([np.zeros((len(phi), N + 1)), rest, one * t[:, None], rest])
+    mixed = by_z.T @ ((weight * zt)[:, None] * by_t)
+    return by_z.T @ ((weight * zz)[:, None] * by_z) + by_t.T @ ((weight * tt)[:, None] * by_t) + mixed + mixed.T
+
+
+def summed(rows: DataFrame, judges: int, x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Objective, gradient and curvature over a ``weighted`` table of any size: tasks add up their rows, and one row of sums by task goes to the driver."""
+    k = len(x)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(1 + k + k * k)
+        for frame in frames:
+            args = [x, *_arguments(frame), judges, frame["weight"].to_numpy()]
+            value, grad = likelihood(*args)
+            total += np.concatenate([[value], grad, curvature(*args).ravel()])
+        yield pd.DataFrame({"sums": [total]})
+
+    total = np.sum([np.array(r[0]) for r in rows.mapInPandas(run, "sums array<double>").collect()] or [np.zeros(1 + k + k * k)], axis=0)
+    return charged(x, judges, total[0], total[1 : 1 + k], total[1 + k :].reshape(k, k))
+
+
+def charged(x: np.ndarray, judges: int, value: float, grad: np.ndarray, curve: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Value, gradient and curvature of the likelihood with those of the penalty."""
+    more, pull = penalty(x, judges)
+    steep = np.concatenate([(1 - np.exp(-_softplus(x[:N]))) ** 2, np.full(len(x) - N, 2e-4)])
+    return value + more, grad + pull, curve + np.diag(steep)
+
+
+def newton(fun: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], x: np.ndarray, steps: int = 60, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """(x, value) after damped Gauss-Newton steps: some ten passes over the table, where each pass is a job. Ends when a step can't gain a millionth of the value."""
+    value, grad, curve = fun(x)
+    damp = 1e-3
+    for _ in range(steps):
+        step = np.linalg.solve(curve + damp * np.diag(np.maximum(np.diag(curve), 1e-8)), grad)
+        if grad @ step < tolerance * max(1.0, abs(value)):
+            break
+        got, new_grad, new_curve = fun(x - step)
+        if got < value:
+            x, value, grad, curve, damp = x - step, got, new_grad, new_curve, damp / 5
+        else:
+            damp *= 10
+    return x, value
 
 
 def minimise(fun, x: np.ndarray, steps: int = 5000, memory: int = 10, tolerance: float = 1e-6) -> np.ndarray:
@@ -206,10 +282,14 @@ def start(judges: int) -> np.ndarray:
 
 
 def fit(rows: pd.DataFrame, judges: int, warm: np.ndarray | None = None) -> np.ndarray:
-    """Raw parameters that fit (d0..d10, extra, neg, judge, ord, answer) rows of feature differences B - A."""
-    phi = rows[[f"d{i}" for i in range(N)]].to_numpy(float)
-    args = [phi, *(rows[c].to_numpy() for c in ("extra", "neg", "judge", "ord", "answer"))]
-    return minimise(lambda x: objective(x, *args, judges), start(judges) if warm is None else warm)
+    """Raw parameters that fit (d0..d10, extra, neg, judge, ord, answer, weight) rows of feature differences B - A."""
+    args = [*_arguments(rows), judges, rows["weight"].to_numpy()]
+
+    def fun(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        value, grad = likelihood(x, *args)
+        return charged(x, judges, value, grad, curvature(x, *args))
+
+    return newton(fun, start(judges) if warm is None else warm)[0]
 
 
 def costs(x: np.ndarray) -> np.ndarray:
@@ -227,23 +307,21 @@ class Alternated:
     cycled: bool = False
 
 
-def fit_alternating(solve: Callable[[np.ndarray], tuple[pd.DataFrame, Hashable]], answers: pd.DataFrame, judges: int, warm: np.ndarray | None = None, most: int = 20) -> Alternated:
+def alternate(solve: Callable[[np.ndarray], tuple[Callable, Hashable]], x: np.ndarray, descend: Callable, most: int = 20) -> Alternated:
     """Fits costs and matchings in turn: costs under fixed matchings, then matchings under the new costs.
 
-    ``solve`` gives, for costs, the feature differences (triplet_id, d0..d10, extra, neg) under the best matchings, and a
-    signature of these. Rounds end when the signature stays; if an earlier one comes back, or after ``most`` rounds, the
-    parameters with the least objective under their own best matchings are returned. answers: (triplet_id, judge, ord, answer).
+    ``solve`` gives, for costs, the objective under the best matchings, and a signature of these; ``descend`` minimises such
+    an objective from a point. Rounds end when the
+    signature stays; if an earlier one comes back, or after ``most`` rounds, the parameters with the least objective under
+    their own best matchings are returned.
     """
-    x = start(judges) if warm is None else warm
-    frame, now = solve(costs(x))
+    fun, now = solve(costs(x))
     seen, best = {now}, None
     for turn in range(1, most + 1):
-        x = fit(answers.merge(frame, on="triplet_id"), judges, x)
-        frame, then = solve(costs(x))
-        rows = answers.merge(frame, on="triplet_id")
-        value, _ = objective(x, rows[[f"d{i}" for i in range(N)]].to_numpy(float), *(rows[c].to_numpy() for c in ("extra", "neg", "judge", "ord", "answer")), judges)
-        made = Alternated(x, value, turn, converged=then == now)
-        if best is None or value < best.value:
+        x = descend(fun, x)
+        fun, then = solve(costs(x))
+        made = Alternated(x, fun(x)[0], turn, converged=then == now)
+        if best is None or made.value < best.value:
             best = made
         if made.converged:
             return made
@@ -254,6 +332,77 @@ def fit_alternating(solve: Callable[[np.ndarray], tuple[pd.DataFrame, Hashable]]
     return replace(best, rounds=most)
 
 
+def fit_alternating(solve: Callable[[np.ndarray], tuple[pd.DataFrame, Hashable]], answers: pd.DataFrame, judges: int, warm: np.ndarray | None = None, most: int = 20) -> Alternated:
+    """``alternate`` over small tables: ``solve`` gives feature differences (triplet_id, d0..d10, extra, neg) and a signature. answers: (triplet_id, judge, ord, answer)."""
+
+    def objectives(theta: np.ndarray) -> tuple[Callable, Hashable]:
+        frame, signature = solve(theta)
+        args = _arguments(answers.merge(frame, on="triplet_id"))
+        return lambda x: objective(x, *args, judges), signature
+
+    return alternate(objectives, start(judges) if warm is None else warm, minimise, most)
+
+
+def fit_triplets(sources: DataFrame, variants: DataFrame, cells: DataFrame, answers: DataFrame, judges: int, warm: np.ndarray | None = None) -> Alternated:
+    """``alternate`` over tables of any size: propositions are matched anew in tasks each round, and tasks sum the objective."""
+
+    def objectives(theta: np.ndarray) -> tuple[Callable, Hashable]:
+        found = matched(cells, theta.tolist())
+        pair = found.agg(F.count("*"), F.bit_xor(F.xxhash64(KEY, "a", "b"))).first()
+        rows = weighted(differences(found, sources, variants).join(answers, "triplet_id"))
+        judged = written(rows, "judged")
+        return lambda x: summed(judged, judges, x), tuple(pair)
+
+    return alternate(objectives, start(judges) if warm is None else warm, lambda fun, x: newton(fun, x)[0])
+
+
+# Kinds and strengths of changed propositions, least similarity to what they were, and the width above it; unrelated ones.
+EDIT_SIMILARITY = {"P-para": {"weak": (0.9, 0.07), "medium": (0.83, 0.07), "strong": (0.75, 0.08)}, "P-shift": {"small": (0.6, 0.15), "medium": (0.45, 0.15), "large": (0.25, 0.2)}, "P-neg": {"": (0.85, 0.1)}}
+UNRELATED = (0.1, 0.35)
+
+
+def triplet_cells(sources: DataFrame, variants: DataFrame, seed: int = 23) -> DataFrame:
+    """(cmp_id, a_pos, b_pos, a, b, cos): simulated similarity of each proposition of a variant to each of its source.
+
+    sources: (triplet_id, source_id, props, links); variants: those of ``perturb``. Unchanged propositions have 1, changed
+    ones a number by kind and strength, different ones a low number that all triplets of a source share.
+    """
+    paired = variants.join(sources.select("triplet_id", "source_id", F.col("props").alias("whole")), "triplet_id")
+    a = paired.select(comparison(), "triplet_id", "source_id", "side", "log", "whole", F.posexplode("props").alias("a_pos", "a"))
+    cells = a.select("*", F.posexplode("whole").alias("b_pos", "b"))
+    edit = F.get(F.filter("log", lambda e: (e["b"] == F.col("a")) & e["a"].isin(*EDIT_SIMILARITY)), F.lit(0))
+    own, u = F.lit(1.0), uniform(seed, F.col("triplet_id"), F.col("side"), F.col("a"))
+    for kind, strengths in EDIT_SIMILARITY.items():
+        for strength, (least, width) in strengths.items():
+            own = F.when((edit["a"] == kind) & (edit["c"] == strength), least + width * u).otherwise(own)
+    new = uniform(seed + 1, F.col("triplet_id"), F.col("side"), F.col("a"), F.col("b"))
+    other = uniform(seed + 2, F.col("source_id"), F.least("a", "b"), F.greatest("a", "b"))
+    low = UNRELATED[0] + UNRELATED[1] * F.when(F.array_contains("whole", F.col("a")), other).otherwise(new)
+    return cells.select(KEY, "a_pos", "b_pos", "a", "b", F.when(F.col("a") == F.col("b"), own).otherwise(low).alias("cos"))
+
+
+def comparison() -> Column:
+    return F.concat_ws("|", "triplet_id", "side").alias(KEY)
+
+
+def matched(cells: DataFrame, theta: list[float]) -> DataFrame:
+    """(cmp_id, a, b, cos): best matching of each comparison under the costs, written once."""
+    cos = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("cos")))
+    priced = cells.withColumns({"cost": substitution(cos, theta), "delete": F.lit(theta[1]), "insert": F.lit(theta[0])}).drop("cos")
+    return written(match(priced).select(KEY, "a", "b").join(cells.select(KEY, "a", "b", "cos"), [KEY, "a", "b"]), "matched")
+
+
+def differences(matching: DataFrame, sources: DataFrame, variants: DataFrame) -> DataFrame:
+    """(triplet_id, source_id, d0..d10, extra, neg): features of variant B less those of A, and negated propositions likewise."""
+    whole = variants.select(comparison(), "triplet_id", "side", "props", "links", "log").join(sources.select("triplet_id", "source_id", F.col("props").alias("whole"), F.col("links").alias("all")), "triplet_id")
+    props = lambda c: whole.select(KEY, F.explode(c).alias("prop_id"))
+    edges = lambda c: whole.select(KEY, F.posexplode(c).alias("pos", "e")).select(KEY, "pos", F.col("e.a").alias("from_id"), F.col("e.b").alias("to_id"), F.col("e.c").alias("kind"))
+    phi = features(matching, props("props"), props("whole"), edges("links"), edges("all"))
+    each = whole.select(KEY, "triplet_id", "source_id", F.when(F.col("side") == "B", 1.0).otherwise(-1.0).alias("sign"), F.size(F.filter("log", lambda e: e["a"] == "P-neg")).alias("negated")).join(phi, KEY, "left").fillna(0.0)
+    signed = lambda c, name: F.sum(F.col("sign") * F.col(c)).alias(name)
+    return each.groupBy("triplet_id", "source_id").agg(*(signed(f"f{i}", f"d{i}") for i in range(N)), signed("edge_extra", "extra"), signed("negated", "neg"))
+
+
 def cluster_draws(sources: DataFrame, replicates: int, seed: int = 11) -> DataFrame:
     """(rep, place, source_id): sources drawn with replacement; a source drawn twice is two clusters."""
     n = sources.count()
@@ -263,18 +412,20 @@ def cluster_draws(sources: DataFrame, replicates: int, seed: int = 11) -> DataFr
 
 
 def bootstrap_fits(rows: DataFrame, draws: DataFrame, judges: int, warm: np.ndarray) -> DataFrame:
-    """(rep, param, value) of a fit for each replicate; a replicate is as large as the judgments and is one task's group."""
+    """(rep, param, value) of a fit for each replicate; a source drawn n times weighs n. A replicate's different rows are one task's group."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"rep": frame["rep"].iloc[0], "param": vocab.PARAMETERS, "value": costs(fit(frame, judges, warm))})
 
-    return rows.join(draws, "source_id").groupBy("rep").applyInPandas(run, "rep long, param string, value double")
+    times = draws.groupBy("rep", "source_id").agg(F.count("*").alias("times"))
+    drawn = weighted(rows, "source_id").join(times, "source_id").withColumn("weight", F.col("weight") * F.col("times"))
+    return drawn.groupBy("rep").applyInPandas(run, "rep long, param string, value double")
 
 
 def cross_validated(rows: DataFrame, judges: int, folds: int = 5, seed: int = 13) -> DataFrame:
     """(triplet_id, delta) of triplets left out of the fit; folds deal sources by the order of their draws."""
     fold = rows.select("source_id").distinct().withColumn("fold", F.pmod(F.row_number().over(W.orderBy(draw(seed, F.col("source_id")), "source_id")) - 1, F.lit(folds)))
-    dealt = rows.join(fold, "source_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("out"))
+    dealt = weighted(rows, "source_id", "triplet_id").join(fold, "source_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("out"))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         x = fit(frame[frame["fold"] != frame["out"]], judges)
@@ -285,24 +436,25 @@ def cross_validated(rows: DataFrame, judges: int, folds: int = 5, seed: int = 13
     return dealt.groupBy("out").applyInPandas(run, "triplet_id long, delta double")
 
 
-def profile(spark, rows: pd.DataFrame, x: np.ndarray, judges: int, points: int = 61, most: float = 3.0) -> DataFrame:
-    """(param, value, nll): slices of the objective along each cost; the grid is dealt to tasks."""
-    grid = spark.createDataFrame([(i, name, most * k / (points - 1)) for i, name in enumerate(vocab.PARAMETERS) for k in range(points)], "i int, param string, value double")
-    shared = spark.sparkContext.broadcast((rows, x))
+def profile(rows: DataFrame, x: np.ndarray, judges: int, points: int = 61, most: float = 3.0) -> DataFrame:
+    """(param, value, nll): slices of the objective along each cost. Tasks sum the whole grid over their rows of a ``weighted`` table, so no task holds all."""
+    grid = [(i, most * k / (points - 1)) for i in range(N) for k in range(points)]
+
+    def at(i: int, value: float) -> np.ndarray:
+        out = x.copy()
+        out[i] = np.log(np.expm1(max(value, 1e-6)))
+        return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        data, best = shared.value
-        phi = data[[f"d{i}" for i in range(N)]].to_numpy(float)
-        args = [phi, *(data[c].to_numpy() for c in ("extra", "neg", "judge", "ord", "answer"))]
+        total = np.zeros(len(grid))
         for frame in frames:
-            out = []
-            for i, value in zip(frame["i"], frame["value"]):
-                at = best.copy()
-                at[i] = np.log(np.expm1(max(value, 1e-6)))
-                out.append(objective(at, *args, judges)[0])
-            yield frame[["param", "value"]].assign(nll=out)
+            args, weight = _arguments(frame), frame["weight"].to_numpy()
+            total += [likelihood(at(i, value), *args, judges, weight)[0] for i, value in grid]
+        yield pd.DataFrame({"cell": np.arange(len(grid)), "nll": total})
 
-    return grid.mapInPandas(run, "param string, value double, nll double")
+    cells = rows.sparkSession.createDataFrame([(k, vocab.PARAMETERS[i], value, penalty(at(i, value), judges)[0]) for k, (i, value) in enumerate(grid)], "cell long, param string, value double, charged double")
+    sums = rows.mapInPandas(run, "cell long, nll double").groupBy("cell").agg(F.sum("nll").alias("nll"))
+    return cells.join(F.broadcast(sums), "cell").select("param", "value", (F.col("nll") + F.col("charged")).alias("nll"))
 
 
 def rematch(costs_table: pd.DataFrame, theta: list[float]) -> pd.DataFrame:
@@ -462,6 +614,28 @@ def problems(checked: Column, realized: Column, unintended: Column, naturalness:
     return F.array_compact(F.array(F.when(~checked, "unchecked"), F.when(checked & ~realized, "unrealized"), F.when(unintended > 0, "unintended"), F.when(naturalness < 3, "unnatural")))
 
 
+def unrealized(variants: DataFrame) -> DataFrame:
+    """(kind, n, same): variants with an edit of this kind, and those whose text stayed as it was. variants: (triplet_id, side, kinds, same)."""
+    each = variants.select("same", F.explode(F.array_distinct("kinds")).alias("kind")).filter("kind <> 'X-spk'")
+    return each.groupBy("kind").agg(F.count("*").alias("n"), F.count_if("same").alias("same"))
+
+
+def verified(variants: DataFrame) -> DataFrame:
+    """(kind, n, first, again, failed) of (kinds, tries, passed): passed at the first try, at a later one, never."""
+    each = variants.select("tries", "passed", F.explode(F.array_distinct("kinds")).alias("kind"))
+    return each.groupBy("kind").agg(F.count("*").alias("n"), F.count_if(F.col("passed") & (F.col("tries") == 1)).alias("first"), F.count_if(F.col("passed") & (F.col("tries") > 1)).alias("again"), F.count_if(~F.col("passed")).alias("failed"))
+
+
+def allocation_hits(triplets: DataFrame, near: float = 0.5) -> DataFrame:
+    """(near_target, n, hit): how often triplets meant to be near have a difference below ``near``, and others not. triplets: (near_target, delta)."""
+    return triplets.filter("near_target IS NOT NULL").groupBy("near_target").agg(F.count("*").alias("n"), F.count_if((F.abs("delta") < near) == F.col("near_target")).alias("hit"))
+
+
+def answers_by_plan(judgments: DataFrame, planned: DataFrame) -> DataFrame:
+    """(plan, answer, n) of judgments by the type of their triplets."""
+    return judgments.join(planned, "triplet_id").groupBy("plan", "answer").agg(F.count("*").alias("n"))
+
+
 def map_answer(raw: Column, order: Column) -> Column:
     """0: A, 1: B, 2: tie, of an answer (first, second, tie) that saw A first if order is 1."""
     return F.when(raw == "tie", 2).when((raw == "first") == (order == 1), 0).otherwise(1)

@@ -258,38 +258,61 @@ def simulated_judgments(spark: SparkSession, d: str) -> DataFrame:
     return calibrate.simulated(deltas)
 
 
+_TRIPLETS: dict[tuple[str, str], tuple[DataFrame, DataFrame, DataFrame, DataFrame]] = {}
+JUDGES = 3
+
+
+def _triplets(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(sources, variants, cells, answers): two triplets for each conversation's graph, edited by plan, judged under the costs with a missing proposition at 1.4."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _TRIPLETS:
+        tg = graphs(spark, d)["tg"]
+        name = lambda c: F.concat(F.lit("p"), F.col(c))
+        link = F.when(F.col("has"), F.struct(name("i").alias("a"), name("dst").alias("b"), F.col("rel").alias("c")))
+        made = tg.groupBy(F.col("c").alias("source_id")).agg(F.sort_array(F.collect_list(name("i"))).alias("props"), F.sort_array(F.collect_list(link)).alias("links"))
+        sources = written(made.withColumn("half", F.explode(F.array(F.lit(0), F.lit(1)))).select((F.col("source_id") * 2 + F.col("half")).alias("triplet_id"), "source_id", "props", "links"), "sources")
+        variants = written(calibrate.perturb(sources.select("triplet_id", "props", "links"), calibrate.edit_plans(sources.select("triplet_id"))), "variants")
+        cells = written(calibrate.triplet_cells(sources, variants), "cells")
+        truth = [1.4, *vocab.THETA[1:]]
+        delta = F.col("extra") * vocab.EDGE_EXTRA
+        for i, t in enumerate(truth):
+            delta = delta + F.col(f"d{i}") * t
+        deltas = calibrate.differences(calibrate.matched(cells, truth), sources, variants).select("triplet_id", delta.alias("delta"))
+        _TRIPLETS[key] = (sources, variants, cells, written(calibrate.simulated(deltas, JUDGES), "answers"))
+    return _TRIPLETS[key]
+
+
 def _fit_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Feature differences of simulated triplets with answers: the sources are 40 graphs, a fixed size."""
-    cells = spark.range(160).select(F.col("id").alias("triplet_id"), F.floor(F.col("id") / 4).alias("source_id"))
-    u = lambda k: calibrate.uniform(40 + k, F.col("triplet_id"))
-    phi = [(F.floor(u(i) * 5) - 2).cast("double").alias(f"d{i}") for i in range(len(vocab.PARAMETERS))]
-    rows = cells.select("triplet_id", "source_id", *phi, F.floor(u(20) * 3 - 1).cast("double").alias("extra"), F.lit(0.0).alias("neg"))
-    delta = F.col("extra")
-    for i, t in enumerate(vocab.THETA):
-        delta = delta + F.col(f"d{i}") * t
-    return rows.join(calibrate.simulated(rows.select("triplet_id", delta.alias("delta"))), "triplet_id")
+    """Judged feature differences under the current costs' matchings."""
+    sources, variants, cells, answers = _triplets(spark, d)
+    return written(calibrate.differences(calibrate.matched(cells, vocab.THETA), sources, variants).join(answers, "triplet_id"), "fit")
+
+
+def _fitted(rows: DataFrame) -> np.ndarray:
+    table = written(calibrate.weighted(rows), "weighted")
+    return calibrate.newton(lambda x: calibrate.summed(table, JUDGES, x), calibrate.start(JUDGES))[0]
 
 
 @query("fit_theta")
 def fit_theta(spark: SparkSession, d: str) -> DataFrame:
-    x = calibrate.fit(_fit_rows(spark, d).orderBy("triplet_id", "judge", "ord").toPandas(), 3)
-    return spark.createDataFrame(list(zip(vocab.PARAMETERS, np.round(calibrate.costs(x), 4).tolist())), "param string, value double")
+    found = calibrate.fit_triplets(*_triplets(spark, d), JUDGES)
+    return spark.createDataFrame(list(zip(vocab.PARAMETERS, np.round(calibrate.costs(found.x), 4).tolist())), "param string, value double")
 
 
 @query("cluster_bootstrap")
 def cluster_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    rows = written(_fit_rows(spark, d), "fit")
-    warm = calibrate.fit(rows.orderBy("triplet_id", "judge", "ord").toPandas(), 3)
-    draws = calibrate.cluster_draws(rows.select("source_id").distinct(), 8)
-    return calibrate.bootstrap_fits(rows, draws, 3, warm).groupBy("param").agg(F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"), calibrate.robust_sd("value").alias("sd"))
+    rows = _fit_rows(spark, d)
+    draws = calibrate.cluster_draws(rows.select("source_id").distinct(), 100)
+    fits = calibrate.bootstrap_fits(rows, draws, JUDGES, _fitted(rows))
+    return fits.groupBy("param").agg(F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"), calibrate.robust_sd("value").alias("sd"))
 
 
 @query("cross_validated_delta")
 def cross_validated_delta(spark: SparkSession, d: str) -> DataFrame:
-    return calibrate.cross_validated(_fit_rows(spark, d), 3, folds=4)
+    return calibrate.cross_validated(_fit_rows(spark, d), JUDGES, folds=4)
 
 
 @query("profile_likelihood")
 def profile_likelihood(spark: SparkSession, d: str) -> DataFrame:
-    rows = _fit_rows(spark, d).orderBy("triplet_id", "judge", "ord").toPandas()
-    return calibrate.profile(spark, rows, calibrate.fit(rows, 3), 3)
+    rows = _fit_rows(spark, d)
+    return calibrate.profile(written(calibrate.weighted(rows), "weighted"), _fitted(rows), JUDGES)

@@ -37,6 +37,12 @@ def parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def parse_json(rows: DataFrame, graph_id: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of nodesets kept as JSON text; rows that are no JSON give none."""
+    made = rows.select(F.col(graph_id).alias("graph_id"), F.from_json(body, NODESET).alias("g"))
+    return parse(made.select("graph_id", "g.*"))
+
+
 def read_nodesets(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of all JSON nodesets under a path; the id comes from the file's name."""
     raw = spark.read.schema(NODESET).json(path, multiLine=True).withColumn("graph_id", nodeset_id(F.col("_metadata.file_name")))
@@ -91,6 +97,19 @@ def sample(rows: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     return rows.withColumn("_h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string")).cast("binary"))).orderBy("_h", key).limit(n).drop("_h")
 
 
+def eligible(counts: DataFrame, splits: DataFrame | None, split: str, least: int, most: int) -> DataFrame:
+    """Rows (graph_id, corpus, locutions, relations) of a split with least to most locutions and a relation. splits: (split, corpus); an unknown split, or none, takes all."""
+    kept = counts.filter(F.col("locutions").between(least, most) & (F.col("relations") > 0))
+    if splits is None or splits.filter(F.col("split") == split).isEmpty():
+        return kept
+    return kept.join(splits.filter(F.col("split") == split).select("corpus").distinct(), "corpus", "left_semi")
+
+
+def manifest(rows: DataFrame, source: str, text: str) -> DataFrame:
+    """(source, n, with_text): how many nodesets a source has, and how many of them have a text."""
+    return rows.groupBy(source).agg(F.count("*").alias("n"), F.count_if(F.coalesce(F.col(text), F.lit("")) != "").alias("with_text"))
+
+
 def write_results(rows: DataFrame, path: str) -> None:
     """JSON lines, a file for each task."""
     rows.write.json(path)
@@ -104,6 +123,6 @@ def write_csv(rows: DataFrame, path: str) -> None:
 
 def write_graphs(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     """A JSON line for each graph, nodes and edges in order."""
-    n = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "type", "text", "scheme"))).alias("nodes"))
+    n = nodes.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "type", "text", "scheme", "speaker", "timestamp", "confidence"))).alias("nodes"))
     e = edges.groupBy("graph_id").agg(F.array_sort(F.collect_list(F.struct("pos", "from_id", "to_id"))).alias("edges"))
     n.join(e, "graph_id", "left").write.json(path)
