@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from disputa.sources.scratch import written
+
 
 def normal_tail(z: Column) -> Column:
     """Two-sided tail of the standard normal distribution."""
@@ -36,24 +38,43 @@ def paired(values: DataFrame, unit: str, condition: str, value: str, least: int
     return both.join(enough, ["c1", "c2"])
 
 
+def running(rows: DataFrame, keys: list[str], order: list[str], amount: str) -> DataFrame:
+    """rows with ``before`` and ``whole``: the sum of ``amount`` over the rows of the same keys that come first, and over all of them.
+
+    Rows are range-partitioned by keys and order and written once; sums are made within a range, and a table of one row for
+    each key and range carries them over. So a key with most of the rows is spread over all tasks.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = written(rows.repartitionByRange(parts, *keys, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    first = lambda w: F.coalesce(F.sum(F.col("_n")).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = spread.withColumn("_n", F.col(amount)).withColumn("_inside", first(W.partitionBy("_range", *keys).orderBy(*order)))
+    sums = spread.groupBy("_range", *keys).agg(F.sum(amount).alias("_n"))
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    carried = sums.select(F.col("_range").alias("_r"), *named, first(W.partitionBy(*keys).orderBy("_range")).alias("_carried"), F.sum("_n").over(W.partitionBy(*keys)).alias("whole"))
+    same = F.col("_range") == F.col("_r")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return inside.join(carried, same).select(*rows.columns, (F.col("_inside") + F.col("_carried")).alias("before"), "whole")
+
+
 def wilcoxon(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, w_plus, w_minus, z): zero differences left out, mean ranks of ties, continuity 0.5, no tie correction of the variance."""
-    used = pairs.filter("diff <> 0").withColumn("size", F.abs("diff"))
-    w = W.partitionBy(*keys)
-    rank = F.rank().over(w.orderBy("size")) + (F.count("*").over(W.partitionBy(*keys, "size")) - 1) / 2
-    summed = used.withColumn("r", rank).groupBy(*keys).agg(F.count("*").alias("n"), F.sum(F.when(F.col("diff") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("diff") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"))
+    """(keys, n, w_plus, w_minus, z): zero differences left out, mean ranks of ties, continuity 0.5, no tie correction of the variance.
+
+    Differences of one size are counted before they are ranked.
+    """
+    sizes = pairs.filter("diff <> 0").groupBy(*keys, F.abs("diff").alias("size")).agg(F.count("*").alias("n"), F.count_if(F.col("diff") > 0).alias("plus"))
+    rank = F.col("before") + (F.col("n") + 1) / 2
+    summed = running(sizes, keys, ["size"], "n").groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.col("plus") * rank).alias("w_plus"), F.sum((F.col("n") - F.col("plus")) * rank).alias("w_minus"))
     n = F.col("n").cast("double")
     low, mean, sd = F.least("w_plus", "w_minus"), n * (n + 1) / 4, F.sqrt(n * (n + 1) * (2 * n + 1) / 24)
     return summed.withColumn("z", F.when(sd > 0, F.least(F.lit(0.0), (low - mean + 0.5) / sd)).otherwise(0.0))
 
 
 def cliffs_delta(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, delta): mean sign over all pairs of the two samples, by ranks in one sort instead of all pairs."""
+    """(keys, delta): mean sign over all pairs of the two samples, by running counts of values instead of all pairs."""
     both = pairs.select(*keys, F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("x").alias("v")), F.struct(F.lit(0).alias("side"), F.col("y").alias("v")))).alias("s")).select(*keys, "s.*")
     by_value = both.groupBy(*keys, "v").agg(F.sum("side").alias("nx"), F.sum(1 - F.col("side")).alias("ny"))
-    below = F.coalesce(F.sum("ny").over(W.partitionBy(*keys).orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum("ny").over(W.partitionBy(*keys))
-    signed = by_value.withColumn("s", F.col("nx") * (below - (whole - below - F.col("ny"))))
+    signed = running(by_value, keys, ["v"], "ny").withColumn("s", F.col("nx") * (F.col("before") - (F.col("whole") - F.col("before") - F.col("ny"))))
     return signed.groupBy(*keys).agg((F.sum("s") / (F.sum("nx") * F.sum("ny"))).alias("delta"))
 
 
@@ -81,8 +102,8 @@ def bootstrap_ci(values: DataFrame, keys: list[str], value: str, order: str, rep
 
     Only values are replicated, as (replicate, place) rows of draws that join the numbered values.
     """
-    w = W.partitionBy(*keys)
-    numbered = values.select(*keys, F.col(value).alias("v"), (F.row_number().over(w.orderBy(order)) - 1).cast("long").alias("i"), F.count("*").over(w).alias("n"))
+    placed = running(values.select(*keys, F.col(order).alias("_at"), F.col(value).alias("v"), F.lit(1).cast("long").alias("one")), keys, ["_at"], "one")
+    numbered = written(placed.select(*keys, "v", F.col("before").alias("i"), F.col("whole").alias("n")), "numbered")
     places = numbered.select(*keys, F.col("i").alias("k"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     drawn = places.select(*keys, "b", F.pmod(draw(seed, F.col("b"), F.col("k")), F.col("n")).alias("i"))
     means = drawn.join(numbered.select(*keys, "i", "v"), [*keys, "i"]).groupBy(*keys, "b").agg(F.round(F.avg("v"), 9).alias("m"))

@@ -92,3 +92,16 @@ def test_writers_keep_speakers(spark, tmp_path):
     nodes = spark.createDataFrame([("g", 0, "L1", "L", "x", "", "Ann", "", "")], "graph_id string, pos long, node_id string, type string, text string, scheme string, speaker string, timestamp string, confidence string")
     nodesets.write_graphs(nodes, spark.createDataFrame([], "graph_id string, pos long, from_id string, to_id string"), str(tmp_path / "g"))
     assert spark.read.json(str(tmp_path / "g")).first().nodes[0].speaker == "Ann"
+
+
+def test_running_sums_over_ranges(spark):
+    from disputa.operators import stats
+
+    rows = spark.createDataFrame([(None if i % 3 == 0 else "k", i * 7 % 101, 1 + i % 4) for i in range(101)], "key string, at long, n long")
+    found = {(r.key, r.at): (r.before, r.whole) for r in stats.running(rows, ["key"], ["at"], "n").collect()}
+    mine = rows.collect()
+    assert len(found) == 101
+    for r in mine:
+        same = [x for x in mine if x.key == r.key]
+        assert found[(r.key, r.at)] == (sum(x.n for x in same if x.at < r.at), sum(x.n for x in same))
+    assert stats.running(rows.limit(0), ["key"], ["at"], "n").isEmpty()
