@@ -23,15 +23,33 @@ def instances(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def relation_outcomes(pred: DataFrame, gold: DataFrame, matching: DataFrame) -> DataFrame:
     """(graph_id, inst, type, src, dst, outcome, gold_inst, gold_type) of predicted instances.
 
-    Three passes: same pair and type, same pair, swapped pair; in a pass the i-th of one side takes the i-th of the other.
+    Three passes: same pair and type, same pair, swapped pair. In the first two the i-th of one side takes the i-th of the
+    other; in the last each in turn takes the first one left of its own type, else of any.
     """
     to = lambda end: matching.select(KEY, F.col("a").alias(end), F.col("b").alias(f"m_{end}"))
     p = pred.join(to("src"), [KEY, "src"], "left").join(to("dst"), [KEY, "dst"], "left")
     ends = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.concat_ws("\x1e", a, b))
-    shape = lambda df, a, b: df.select(KEY, F.col("inst").alias("id"), F.col("inst").alias("pos"), "type", "src", "dst", ends(a, b).alias("ends"), ends(b, a).alias("turned"))
+    shape = lambda df, a, b: df.select(KEY, F.col("inst").cast("long").alias("id"), F.col("inst").alias("pos"), "type", "src", "dst", ends(a, b).alias("ends"), ends(b, a).alias("turned"))
     rows = both_sides(shape(p, "m_src", "m_dst"), shape(gold, "src", "dst"))
-    found = match_in_passes(rows, KEY, [("correct", False, True), ("mistyped", False, False), ("reversed", True, True), ("reversed", True, False)])
-    return found.filter("side = 0").select(KEY, F.col("id").alias("inst"), "type", "src", "dst", F.coalesce("outcome", F.lit("spurious")).alias("outcome"), F.col("partner").alias("gold_inst"), F.col("partner_type").alias("gold_type"))
+    found = match_in_passes(rows, KEY, [("correct", False, True), ("mistyped", False, False)])
+    mine = found.filter("side = 0").join(_turned(found), [KEY, "id"], "left")
+    outcome = F.coalesce("outcome", F.when(F.col("t_partner").isNotNull(), "reversed"), F.lit("spurious"))
+    return mine.select(KEY, F.col("id").alias("inst"), "type", "src", "dst", outcome.alias("outcome"), F.coalesce("partner", "t_partner").alias("gold_inst"), F.coalesce("partner_type", "t_type").alias("gold_type"))
+
+
+def _turned(found: DataFrame) -> DataFrame:
+    """(graph_id, id, t_partner, t_type) of what is left after the passes, each in turn taking a relation of the swapped pair. A pair of propositions is one row's arrays."""
+    ends = F.when(F.col("side") == 1, F.col("turned")).otherwise(F.col("ends"))
+    item = lambda side: F.sort_array(F.collect_list(F.when(F.col("side") == side, F.struct("id", "type"))))
+    pairs = found.filter("outcome IS NULL").withColumn("_ends", ends).filter("_ends IS NOT NULL").groupBy(KEY, "_ends").agg(item(0).alias("mine"), item(1).alias("others")).filter("size(mine) > 0 AND size(others) > 0")
+    begin = F.struct(F.col("others").alias("left"), F.array().cast("array<struct<id:bigint,t_partner:bigint,t_type:string>>").alias("out"))
+
+    def take(state, x):
+        pick = F.coalesce(F.get(F.filter(state["left"], lambda g: g["type"] == x["type"]), F.lit(0)), F.get(state["left"], F.lit(0)))
+        taken = F.struct(x["id"].alias("id"), pick["id"].alias("t_partner"), pick["type"].alias("t_type"))
+        return F.struct(F.filter(state["left"], lambda g: g["id"] != pick["id"]).alias("left"), F.when(pick.isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(taken))).alias("out"))
+
+    return pairs.select(KEY, F.explode(F.aggregate("mine", begin, take)["out"]).alias("x")).select(KEY, "x.*")
 
 
 def relation_counts(outcomes: DataFrame, gold: DataFrame) -> DataFrame:

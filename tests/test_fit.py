@@ -105,3 +105,14 @@ def test_running_sums_over_ranges(spark):
         same = [x for x in mine if x.key == r.key]
         assert found[(r.key, r.at)] == (sum(x.n for x in same if x.at < r.at), sum(x.n for x in same))
     assert stats.running(rows.limit(0), ["key"], ["at"], "n").isEmpty()
+
+
+def test_turned_relations_prefer_their_type_in_turn(spark):
+    from disputa.operators import score
+
+    schema = "graph_id string, inst int, type string, src string, dst string"
+    pred = spark.createDataFrame([("g", 1, "CA", "a", "b"), ("g", 2, "RA", "a", "b"), ("g", 3, "MA", "a", "b"), ("g", 4, "RA", "c", "a")], schema)
+    gold = spark.createDataFrame([("g", 1, "RA", "b", "a"), ("g", 2, "MA", "b", "a")], schema)
+    same = spark.createDataFrame([("g", x, x) for x in "abc"], "graph_id string, a string, b string")
+    got = {r.inst: (r.outcome, r.gold_inst, r.gold_type) for r in score.relation_outcomes(pred, gold, same).collect()}
+    assert got == {1: ("reversed", 1, "RA"), 2: ("reversed", 2, "MA"), 3: ("spurious", None, None), 4: ("spurious", None, None)}
