@@ -3,11 +3,11 @@
 Tokens are lower-case (A-Z only) words without white space and one end. Counts cover every training text. The network
 predicts the ``HEADS`` most frequent tokens one by one and all others as one of eight shapes (by last byte and by
 whether non-ASCII bytes occur); inside a shape the smoothed counts decide, so probabilities cover the whole
-vocabulary and one unseen token for each shape. Weights are trained by truncated backpropagation in numpy on one of
-``TRAIN_ONE_OF`` training texts, drawn by hash, a number that grows with the corpus: a first network from a bounded sample is
-sent to all shards of these texts, each shard trains it on its own texts, and the weights are averaged by tokens. Texts are dealt to shards of about ``SHARD`` tokens by hash, so shards
-grow in number with the corpus and weights do not depend on how the table is stored. Scoring runs many texts side by side and carries each one's state from window to window
-until its end.
+vocabulary and one unseen token for each shape. Weights are trained by truncated backpropagation in numpy on every
+training text: a first network from a bounded sample, where training starts, is sent to all shards of these texts, each
+shard trains it on its own texts, and the weights are averaged by tokens. Texts are dealt to shards of about ``SHARD``
+tokens by hash, so shards grow in number with the corpus and weights do not depend on how the table is stored. Scoring
+runs many texts side by side and carries each one's state from window to window until its end.
 
 Counts of the ``COMMON`` most frequent tokens go with the tasks (a fixed size); counts of all others are joined by
 token in a shuffle, so no table that grows with the corpus is broadcast or collected.
@@ -36,13 +36,15 @@ MEMBERS = HEADS // CLASSES
 COMMON = 1 << 17
 #: Texts of the first network at most, those with the lowest hash of the id; passes over them.
 FIT_ROWS, EPOCHS = 1500, 2
-#: The share, as one of so many, of all training texts that shards train on; it grows with the corpus.
-TRAIN_ONE_OF = 2
 #: Tokens of a shard, its lanes (fewer in a small one, for enough steps) and its rate; weights of a row of sums.
 SHARD, SHARD_LANES, SHARD_RATE, CHUNK = 1 << 21, 512, 0.01, 4096
 HIDDEN, WINDOW, LANES, RATE, SEED = 16, 16, 48, 0.02, 7
 #: Texts scored side by side; steps after which outputs are computed for all of them.
 SCORE_LANES, SCORE_WINDOW = 512, 16
+#: Size of a table of heads (a power of 2).
+PLACES = 1 << 18
+#: States whose outputs are computed at once, few enough for a processor's cache.
+ROWS = 256
 END = int(mix(np.array([0xE17D], np.uint64)).view(np.int64)[0])
 
 
@@ -103,8 +105,13 @@ class Network:
     w: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.order = np.argsort(self.heads, kind="stable")
-        self.sorted = self.heads[self.order]
+        # Tables from bits of a hash to the head that has them; heads whose place is taken go to the next table.
+        self.places, left, shift = [], np.arange(len(self.heads)), 0
+        while len(left):
+            found, at = np.zeros(PLACES, np.int16), self._place(self.heads[left], shift)
+            found[at] = left
+            self.places.append((shift, found))
+            left, shift = left[found[at] != left], (shift + 18) % 64
         if not self.w:
             random, size = np.random.default_rng(SEED), HEADS + SHAPES
             self.w = {"x": random.normal(0, 0.3, (size, 3 * HIDDEN)), "u": random.normal(0, 0.3, (HIDDEN, 2 * HIDDEN)), "v": random.normal(0, 0.3, (HIDDEN, HIDDEN)), "c": random.normal(0, 0.1, (HIDDEN, CLASSES + SHAPES)), "cb": np.zeros(CLASSES + SHAPES), "m": random.normal(0, 0.1, (CLASSES, HIDDEN, MEMBERS)), "mb": np.zeros((CLASSES, MEMBERS))}
@@ -112,35 +119,51 @@ class Network:
 
     def outputs(self, hashes: np.ndarray, shapes: np.ndarray) -> np.ndarray:
         """The output that stands for each token: its own, or that of its shape."""
-        if not len(self.sorted):
-            return (HEADS + shapes.astype(np.int64)).astype(np.int16)
-        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
-        return np.where(self.sorted[at] == hashes, self.order[at], HEADS + shapes.astype(np.int64)).astype(np.int16)
+        out = (HEADS + shapes.astype(np.int64)).astype(np.int16)
+        for shift, found in self.places:
+            at = found[self._place(hashes, shift)]
+            out = np.where(self.heads[at] == hashes, at, out)
+        return out
+
+    @staticmethod
+    def _place(hashes: np.ndarray, shift: int) -> np.ndarray:
+        return (hashes >> shift) & (PLACES - 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 + 0.5 * np.tanh(0.5 * x)
 
 
-def _highest(w: np.ndarray, bias: np.ndarray) -> np.float32:
-    """No logit of a state, whose values are within -1 and 1, is above this."""
-    return np.float32((bias + np.abs(w).sum(0)).max())
+def _outputs(w: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The weights with the bias as a last row, less what no logit of a state, whose values are within -1 and 1, is above."""
+    return np.concatenate((w, (bias - (bias + np.abs(w).sum(0)).max())[None])).astype(np.float32)
 
 
-def _softmax(x: np.ndarray, highest: np.float32) -> np.ndarray:
-    """Probabilities of rows of logits, in place."""
-    x -= highest
-    np.exp(x, out=x)
-    x /= np.maximum(x @ np.ones(x.shape[1], np.float32), np.float32(1e-37))[:, None]
-    return x
+def _log_probability(flat: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Log-probability of one target of each state (its last value is 1) under ``_outputs``."""
+    out, ones, rows = np.empty(len(flat), np.float32), np.ones(w.shape[1], np.float32), np.arange(ROWS)
+    for at in range(0, len(flat), ROWS):
+        x = flat[at : at + ROWS] @ w
+        own = x[rows[: len(x)], target[at : at + ROWS]]
+        np.exp(x, out=x)
+        out[at : at + ROWS] = own - np.log(np.maximum(x @ ones, np.float32(1e-37)))
+    return out
 
 
-def _log_probability(x: np.ndarray, target: np.ndarray, highest: np.float32) -> np.ndarray:
-    """Log-probability of one target of each row of logits, which are overwritten."""
-    x -= highest
-    own = x[np.arange(len(x)), target]
-    np.exp(x, out=x)
-    return own - np.log(np.maximum(x @ np.ones(x.shape[1], np.float32), np.float32(1e-37)))
+def _gradients(flat: np.ndarray, target: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient of ``_outputs``, gradient of each state) of the negative log-probability of one target of each state."""
+    grad, back, ones, rows = np.zeros_like(w), np.empty((len(flat), HIDDEN), np.float32), np.ones(w.shape[1], np.float32), np.arange(ROWS)
+    turned = np.ascontiguousarray(w[:HIDDEN].T)
+    for at in range(0, len(flat), ROWS):
+        own = flat[at : at + ROWS]
+        x = own @ w
+        np.exp(x, out=x)
+        total = np.maximum(x @ ones, np.float32(1e-37))
+        x[rows[: len(x)], target[at : at + ROWS]] -= total
+        share = (np.float32(1) / total)[:, None]
+        grad += (own * share).T @ x
+        np.multiply(x @ turned, share, out=back[at : at + ROWS])
+    return grad, back
 
 
 def _factored(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -189,13 +212,13 @@ def score(net: Network, outputs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     grid, owner, begin = _grid(outputs, offsets, SCORE_LANES)
     result, w = np.zeros(len(offsets) - 1), net.w
     x, u, v = w["x"], w["u"], w["v"]
-    top, tops = _highest(w["c"], w["cb"]), [_highest(w["m"][k], w["mb"][k]) for k in range(CLASSES)]
+    classes, members = _outputs(w["c"], w["cb"]), [_outputs(w["m"][k], w["mb"][k]) for k in range(CLASSES)]
     h, before = np.zeros((len(grid), HIDDEN), np.float32), np.full(len(grid), -1)
     live_until = (grid >= 0).sum(1)
     for at in range(0, grid.shape[1], SCORE_WINDOW):
         live = int(np.searchsorted(-live_until, -at, "left"))  # lanes that still have tokens here
         size = min(SCORE_WINDOW, grid.shape[1] - at)
-        states = np.empty((size, live, HIDDEN), np.float32)
+        states = np.ones((size, live, HIDDEN + 1), np.float32)
         h, before = h[:live], before[:live]
         for t in range(size):
             start = begin[:live, at + t]
@@ -206,19 +229,19 @@ def score(net: Network, outputs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
             zr = _sigmoid(gates[:, : 2 * HIDDEN] + h @ u)
             z = zr[:, :HIDDEN]
             h = h + z * (np.tanh(gates[:, 2 * HIDDEN :] + (zr[:, HIDDEN:] * h) @ v) - h)
-            states[t] = h
+            states[t, :, :HIDDEN] = h
             before = grid[:live, at + t].astype(np.int64)
         target, whose = grid[:live, at : at + size].T.reshape(-1), owner[:live, at : at + size].T.reshape(-1)
         used = np.flatnonzero(target >= 0)
-        flat, target, whose = states.reshape(-1, HIDDEN)[used], target[used].astype(np.int64), whose[used]
+        flat, target, whose = states.reshape(-1, HIDDEN + 1)[used], target[used].astype(np.int64), whose[used]
         klass, member = _factored(target)
-        logp = _log_probability(flat @ w["c"] + w["cb"], klass, top)
+        logp = _log_probability(flat, klass, classes)
         order, cut = _by_class(klass)
         flat, member, inner = flat[order], member[order], np.empty(len(order), np.float32)
         for k in range(CLASSES):
             if cut[k] < cut[k + 1]:
                 own = slice(cut[k], cut[k + 1])
-                inner[own] = _log_probability(flat[own] @ w["m"][k] + w["mb"][k], member[own], tops[k])
+                inner[own] = _log_probability(flat[own], member[own], members[k])
         logp[order] += inner
         result += np.bincount(whose, logp, len(result))
     return result
@@ -243,58 +266,61 @@ def train(net: Network, texts: list[np.ndarray], totals: np.ndarray | None, lane
         h, before = np.zeros((len(grid), H), np.float32), np.full(len(grid), HEADS)
         for at in range(0, grid.shape[1], WINDOW):
             size = min(WINDOW, grid.shape[1] - at)
-            kept, grads = [], {k: np.zeros_like(v) for k, v in w.items() if k != "x"}
+            kept, grads = [], {k: np.zeros_like(v) for k, v in w.items() if k in ("m", "mb")}
+            states = np.ones((size, len(grid), H + 1), np.float32)
             for t in range(size):
                 start = begin[:, at + t]
-                h = np.where(start[:, None], np.float32(0), h)
+                if start.any():
+                    h = np.where(start[:, None], np.float32(0), h)
                 given = np.where(start | (before < 0), HEADS, before)
                 gates = w["x"][given]
                 zr = _sigmoid(gates[:, : 2 * H] + h @ w["u"])
                 z, r = zr[:, :H], zr[:, H:]
-                candidate = np.tanh(gates[:, 2 * H :] + (r * h) @ w["v"])
-                new = h + z * (candidate - h)
-                kept.append((start, given, h, z, r, candidate, new))
-                h, before = new, grid[:, at + t].astype(np.int64)
-            states = np.stack([k[-1] for k in kept])
+                reset = r * h
+                candidate = np.tanh(gates[:, 2 * H :] + reset @ w["v"])
+                move = candidate - h
+                kept.append((start, given, h, z, r, reset, candidate, move))
+                h, before = h + z * move, grid[:, at + t].astype(np.int64)
+                states[t, :, :H] = h
             target = grid[:, at : at + size].T.astype(np.int64)
             used = np.nonzero(target >= 0)
             flat, goal = states[used], target[used]
             if not len(goal):
                 break
             (klass, member), n = _factored(goal), len(goal)
-            p = _softmax(flat @ w["c"] + w["cb"], _highest(w["c"], w["cb"]))
-            p[np.arange(n), klass] -= 1
-            grads["c"], grads["cb"], dflat = flat.T @ p / n, p.sum(0) / n, p @ w["c"].T
+            got, dflat = _gradients(flat, klass, _outputs(w["c"], w["cb"]))
+            grads["c"], grads["cb"] = got[:H] / n, got[H] / n
             order, cut = _by_class(klass)
-            inner, member, dinner = flat[order], member[order], np.empty((len(order), HIDDEN), np.float32)
+            inner, member, dinner = flat[order], member[order], np.empty((len(order), H), np.float32)
             for k in range(CLASSES):
                 if cut[k] < cut[k + 1]:
                     own = slice(cut[k], cut[k + 1])
-                    q = _softmax(inner[own] @ w["m"][k] + w["mb"][k], _highest(w["m"][k], w["mb"][k]))
-                    q[np.arange(len(q)), member[own]] -= 1
-                    grads["m"][k], grads["mb"][k] = inner[own].T @ q / n, q.sum(0) / n
-                    dinner[own] = q @ w["m"][k].T
+                    got, dinner[own] = _gradients(inner[own], member[own], _outputs(w["m"][k], w["mb"][k]))
+                    grads["m"][k], grads["mb"][k] = got[:H] / n, got[H] / n
             dflat[order] += dinner
-            dstates = np.zeros_like(states)
+            dstates = np.zeros((size, len(grid), H), np.float32)
             dstates[used] = dflat / n
-            dh, dx = np.zeros_like(h), []
+            dh, dx = np.zeros_like(h), np.empty((size, len(grid), 3 * H), np.float32)
+            vt, ut = np.ascontiguousarray(w["v"].T), np.ascontiguousarray(w["u"].T)
             for t in reversed(range(size)):
-                start, given, old, z, r, candidate, _ = kept[t]
+                start, _, old, z, r, _, candidate, move = kept[t]
                 dh = dh + dstates[t]
                 dcand = dh * z * (1 - candidate * candidate)
-                drh = dcand @ w["v"].T
-                dzr = np.concatenate([dh * (candidate - old) * z * (1 - z), drh * old * r * (1 - r)], 1)
-                grads["v"] += (r * old).T @ dcand
-                grads["u"] += old.T @ dzr
-                dx.append((given, np.concatenate([dzr, dcand], 1)))
-                dh = dh * (1 - z) + drh * r + dzr @ w["u"].T
-                dh[start] = 0
-            given, values = np.concatenate([a for a, _ in dx]), np.concatenate([b for _, b in dx])
+                drh = dcand @ vt
+                dx[t, :, :H] = dh * move * z * (1 - z)
+                dx[t, :, H : 2 * H] = drh * old * r * (1 - r)
+                dx[t, :, 2 * H :] = dcand
+                dh = dh * (1 - z) + drh * r + dx[t, :, : 2 * H] @ ut
+                if start.any():
+                    dh[start] = 0
+            values = dx.reshape(-1, 3 * H)
+            grads["u"] = np.concatenate([k[2] for k in kept]).T @ values[:, : 2 * H]
+            grads["v"] = np.concatenate([k[5] for k in kept]).T @ values[:, 2 * H :]
+            given = np.concatenate([k[1] for k in kept])
             order = np.argsort(given.astype(np.int16), kind="stable")
             given = given[order]
             cut = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
-            upto = np.concatenate((np.zeros((1, 3 * H)), np.cumsum(values[order], 0, np.float64)))
-            grads["x"], used_rows = np.diff(upto[np.append(cut, len(given))], axis=0).astype(np.float32), given[cut]
+            grads["x"], used_rows = np.add.reduceat(values[order], cut, axis=0), given[cut]
             step += 1
             rate = top_rate * (1 - step / (total_steps + 1))
             norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
@@ -323,7 +349,7 @@ def train(net: Network, texts: list[np.ndarray], totals: np.ndarray | None, lane
 def train_shards(training: DataFrame, net: Network, tokens_all: int) -> Network:
     """The average, by tokens, of the networks that shards of all (doc_id, text) rows make of ``net``; only sums of weights reach the driver."""
     spark = training.sparkSession
-    shards = max(1, round(tokens_all / TRAIN_ONE_OF / SHARD))
+    shards = max(1, round(tokens_all / SHARD))
     shared = spark.sparkContext.broadcast(net)
     names = sorted(net.w)
 
@@ -351,8 +377,7 @@ def train_shards(training: DataFrame, net: Network, tokens_all: int) -> Network:
             yield pa.RecordBatch.from_arrays([rows.column("chunk").slice(0, 1).combine_chunks(), pa.array([(sums / sum(rows.column("n").to_pylist())).tobytes()], pa.binary())], names=["chunk", "weights"])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    training = training.select("doc_id", "text").filter(F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "text"), F.lit(TRAIN_ONE_OF)) == 0)
-    coded = bounded(training).mapInArrow(encode, "doc_id long, outputs binary").withColumn("draw", F.xxhash64("doc_id", "outputs")).withColumn("shard", F.pmod("draw", F.lit(shards)))
+    coded = bounded(training).select("doc_id", "text").mapInArrow(encode, "doc_id long, outputs binary").withColumn("draw", F.xxhash64("doc_id", "outputs")).withColumn("shard", F.pmod("draw", F.lit(shards)))
     made = coded.repartition(max(parts, shards), "shard").sortWithinPartitions("shard", "draw").select("shard", "outputs").mapInArrow(run, "chunk long, shard long, n long, sums binary")
     got = made.repartition(min(parts, 16), "chunk").sortWithinPartitions("chunk", "shard").mapInArrow(total, "chunk long, weights binary").toArrow().sort_by("chunk")
     if not got.num_rows:

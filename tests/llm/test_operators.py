@@ -204,6 +204,14 @@ def test_language_model_learns_from_all_texts(spark, monkeypatch):
     assert all(np.allclose(again[k], w, atol=1e-4) for k, w in model.net.w.items())
 
 
+def test_every_training_text_changes_the_weights(spark):
+    docs = docs_of(spark, [" ".join("abcdefgh"[(i * k) % 8] for k in range(20 + i)) for i in range(8)]).select("doc_id", "text")
+    net = lm.Network(np.sort(lm.tokens(pa.array(["a b c d e f g h"]))[0]))
+    weights = lambda rows: np.concatenate([w.reshape(-1) for w in lm.train_shards(rows, net, 300).w.values()])
+    whole = weights(docs)
+    assert not any(np.array_equal(weights(docs.filter(f"doc_id <> {i}")), whole) for i in range(8))
+
+
 def test_states_are_carried():
     net = lm.Network(np.arange(10, dtype=np.int64))
     rng = np.random.default_rng(1)
