@@ -130,13 +130,41 @@ class Network:
         return (hashes >> shift) & (PLACES - 1)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 + 0.5 * np.tanh(0.5 * x)
+def _gates(w: dict[str, np.ndarray], given: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(inputs of update, reset and candidate by step and lane, weights of the state for update and reset), each part contiguous; update and reset halved, as a sigmoid is half a hyperbolic tangent of the half."""
+    x = w["x"].take(given.reshape(-1), 0).reshape(-1, 3, HIDDEN).transpose(1, 0, 2).reshape(3, *given.shape, HIDDEN)
+    x[:2] *= np.float32(0.5)
+    return x, w["u"].reshape(HIDDEN, 2, HIDDEN).transpose(1, 0, 2) * np.float32(0.5)
+
+
+def _step(h: np.ndarray, x: np.ndarray, u: np.ndarray, v: np.ndarray, zr: np.ndarray, reset: np.ndarray, candidate: np.ndarray, move: np.ndarray, out: np.ndarray) -> None:
+    """The state ``out`` after ``h`` and the inputs ``x`` of one step (see ``_gates``); gates, reset state, candidate and move are kept."""
+    np.matmul(h, u, out=zr)
+    zr += x[:2]
+    np.tanh(zr, out=zr)
+    zr *= np.float32(0.5)
+    zr += np.float32(0.5)
+    np.multiply(zr[1], h, out=reset)
+    np.matmul(reset, v, out=candidate)
+    candidate += x[2]
+    np.tanh(candidate, out=candidate)
+    np.subtract(candidate, h, out=move)
+    np.multiply(zr[0], move, out=out)
+    out += h
+
+
+def _given(grid: np.ndarray, begin: np.ndarray, at: int, size: int, live: int) -> np.ndarray:
+    """What comes before each output of a window of a grid by step and lane: the output before it, or the first shape where a text begins or a lane has ended."""
+    given = np.full((size, live), HEADS, np.int64)
+    skip = 1 if at == 0 else 0
+    given[skip:] = grid[at + skip - 1 : at + size - 1, :live]
+    given[begin[at : at + size, :live] | (given < 0)] = HEADS
+    return given
 
 
 def _outputs(w: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The weights with the bias as a last row, less what no logit of a state, whose values are within -1 and 1, is above."""
-    return np.concatenate((w, (bias - (bias + np.abs(w).sum(0)).max())[None])).astype(np.float32)
+    """The weights with the bias as a last row, less what no logit of a state, whose values are within -1 and 1, is above; of one class or of many."""
+    return np.concatenate((w, (bias - (bias + np.abs(w).sum(-2)).max(-1, keepdims=True))[..., None, :]), -2).astype(np.float32)
 
 
 def _log_probability(flat: np.ndarray, target: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -210,28 +238,24 @@ def _grid(outputs: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
 def score(net: Network, outputs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Natural log-probability of each text's outputs, states carried through whole texts."""
     grid, owner, begin = _grid(outputs, offsets, SCORE_LANES)
-    result, w = np.zeros(len(offsets) - 1), net.w
-    x, u, v = w["x"], w["u"], w["v"]
-    classes, members = _outputs(w["c"], w["cb"]), [_outputs(w["m"][k], w["mb"][k]) for k in range(CLASSES)]
-    h, before = np.zeros((len(grid), HIDDEN), np.float32), np.full(len(grid), -1)
     live_until = (grid >= 0).sum(1)
-    for at in range(0, grid.shape[1], SCORE_WINDOW):
+    grid, owner, begin = (np.ascontiguousarray(x.T) for x in (grid, owner, begin))
+    result, w = np.zeros(len(offsets) - 1), net.w
+    classes, members = _outputs(w["c"], w["cb"]), _outputs(w["m"], w["mb"])
+    h = np.zeros((grid.shape[1], HIDDEN), np.float32)
+    for at in range(0, len(grid), SCORE_WINDOW):
         live = int(np.searchsorted(-live_until, -at, "left"))  # lanes that still have tokens here
-        size = min(SCORE_WINDOW, grid.shape[1] - at)
+        size = min(SCORE_WINDOW, len(grid) - at)
         states = np.ones((size, live, HIDDEN + 1), np.float32)
-        h, before = h[:live], before[:live]
+        h = h[:live].copy()
+        x, u = _gates(w, _given(grid, begin, at, size, live))
+        zr, (reset, candidate, move, after) = np.empty((2, live, HIDDEN), np.float32), np.empty((4, live, HIDDEN), np.float32)
         for t in range(size):
-            start = begin[:live, at + t]
-            if start.any():
-                h = np.where(start[:, None], np.float32(0), h)
-            given = np.where(start | (before < 0), HEADS, before)  # a text begins after the first shape
-            gates = x[given]
-            zr = _sigmoid(gates[:, : 2 * HIDDEN] + h @ u)
-            z = zr[:, :HIDDEN]
-            h = h + z * (np.tanh(gates[:, 2 * HIDDEN :] + (zr[:, HIDDEN:] * h) @ v) - h)
+            h[begin[at + t, :live]] = 0
+            _step(h, x[:, t], u, w["v"], zr, reset, candidate, move, after)
+            h, after = after, h
             states[t, :, :HIDDEN] = h
-            before = grid[:live, at + t].astype(np.int64)
-        target, whose = grid[:live, at : at + size].T.reshape(-1), owner[:live, at : at + size].T.reshape(-1)
+        target, whose = grid[at : at + size, :live].reshape(-1), owner[at : at + size, :live].reshape(-1)
         used = np.flatnonzero(target >= 0)
         flat, target, whose = states.reshape(-1, HIDDEN + 1)[used], target[used].astype(np.int64), whose[used]
         klass, member = _factored(target)
@@ -259,30 +283,28 @@ def train(net: Network, texts: list[np.ndarray], totals: np.ndarray | None, lane
         return net
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
     grid, _, begin = _grid(np.concatenate(texts), offsets, lanes)
+    live_until = (grid >= 0).sum(1)
+    grid, begin = np.ascontiguousarray(grid.T), np.ascontiguousarray(begin.T)
     first, second, step = {k: np.zeros_like(v) for k, v in w.items()}, {k: np.zeros_like(v) for k, v in w.items()}, 0
     H = HIDDEN
-    total_steps = epochs * -(-grid.shape[1] // WINDOW)
+    total_steps = epochs * -(-len(grid) // WINDOW)
     for _ in range(epochs):
-        h, before = np.zeros((len(grid), H), np.float32), np.full(len(grid), HEADS)
-        for at in range(0, grid.shape[1], WINDOW):
-            size = min(WINDOW, grid.shape[1] - at)
-            kept, grads = [], {k: np.zeros_like(v) for k, v in w.items() if k in ("m", "mb")}
-            states = np.ones((size, len(grid), H + 1), np.float32)
+        h = np.zeros((grid.shape[1], H), np.float32)
+        for at in range(0, len(grid), WINDOW):
+            live = int(np.searchsorted(-live_until, -at, "left"))  # the others have ended: nothing is to be learnt from them
+            size = min(WINDOW, len(grid) - at)
+            grads = {k: np.zeros_like(v) for k, v in w.items() if k in ("m", "mb")}
+            starts = begin[at : at + size, :live]
+            given = _given(grid, begin, at, size, live)
+            x, u = _gates(w, given)
+            zr, (old, reset, candidate, move) = np.empty((2, size, live, H), np.float32), np.empty((4, size, live, H), np.float32)
+            states, h = np.ones((size, live, H + 1), np.float32), h[:live]
             for t in range(size):
-                start = begin[:, at + t]
-                if start.any():
-                    h = np.where(start[:, None], np.float32(0), h)
-                given = np.where(start | (before < 0), HEADS, before)
-                gates = w["x"][given]
-                zr = _sigmoid(gates[:, : 2 * H] + h @ w["u"])
-                z, r = zr[:, :H], zr[:, H:]
-                reset = r * h
-                candidate = np.tanh(gates[:, 2 * H :] + reset @ w["v"])
-                move = candidate - h
-                kept.append((start, given, h, z, r, reset, candidate, move))
-                h, before = h + z * move, grid[:, at + t].astype(np.int64)
+                np.multiply(h, ~starts[t][:, None], out=old[t])
+                h = np.empty_like(h)
+                _step(old[t], x[:, t], u, w["v"], zr[:, t], reset[t], candidate[t], move[t], h)
                 states[t, :, :H] = h
-            target = grid[:, at : at + size].T.astype(np.int64)
+            target = grid[at : at + size, :live].astype(np.int64)
             used = np.nonzero(target >= 0)
             flat, goal = states[used], target[used]
             if not len(goal):
@@ -291,36 +313,40 @@ def train(net: Network, texts: list[np.ndarray], totals: np.ndarray | None, lane
             got, dflat = _gradients(flat, klass, _outputs(w["c"], w["cb"]))
             grads["c"], grads["cb"] = got[:H] / n, got[H] / n
             order, cut = _by_class(klass)
-            inner, member, dinner = flat[order], member[order], np.empty((len(order), H), np.float32)
+            inner, member, dinner, members = flat[order], member[order], np.empty((len(order), H), np.float32), _outputs(w["m"], w["mb"])
             for k in range(CLASSES):
                 if cut[k] < cut[k + 1]:
                     own = slice(cut[k], cut[k + 1])
-                    got, dinner[own] = _gradients(inner[own], member[own], _outputs(w["m"][k], w["mb"][k]))
+                    got, dinner[own] = _gradients(inner[own], member[own], members[k])
                     grads["m"][k], grads["mb"][k] = got[:H] / n, got[H] / n
             dflat[order] += dinner
-            dstates = np.zeros((size, len(grid), H), np.float32)
+            dstates = np.zeros((size, live, H), np.float32)
             dstates[used] = dflat / n
-            dh, dx = np.zeros_like(h), np.empty((size, len(grid), 3 * H), np.float32)
-            vt, ut = np.ascontiguousarray(w["v"].T), np.ascontiguousarray(w["u"].T)
+            # What a gradient of the state is multiplied by for that of each gate and of the state before.
+            (z, r), dx = zr, np.empty((3, size, live, H), np.float32)
+            keep = 1 - z
+            by_z, by_r, by_candidate = move * z * keep, old * r * (1 - r), z * (1 - candidate * candidate)
+            dh, vt, ut = np.zeros_like(h), np.ascontiguousarray(w["v"].T), np.ascontiguousarray(w["u"].T).reshape(2, H, H)
             for t in reversed(range(size)):
-                start, _, old, z, r, _, candidate, move = kept[t]
-                dh = dh + dstates[t]
-                dcand = dh * z * (1 - candidate * candidate)
-                drh = dcand @ vt
-                dx[t, :, :H] = dh * move * z * (1 - z)
-                dx[t, :, H : 2 * H] = drh * old * r * (1 - r)
-                dx[t, :, 2 * H :] = dcand
-                dh = dh * (1 - z) + drh * r + dx[t, :, : 2 * H] @ ut
-                if start.any():
-                    dh[start] = 0
-            values = dx.reshape(-1, 3 * H)
-            grads["u"] = np.concatenate([k[2] for k in kept]).T @ values[:, : 2 * H]
-            grads["v"] = np.concatenate([k[5] for k in kept]).T @ values[:, 2 * H :]
-            given = np.concatenate([k[1] for k in kept])
-            order = np.argsort(given.astype(np.int16), kind="stable")
-            given = given[order]
-            cut = np.flatnonzero(np.concatenate(([True], given[1:] != given[:-1])))
-            grads["x"], used_rows = np.add.reduceat(values[order], cut, axis=0), given[cut]
+                dh += dstates[t]
+                np.multiply(dh, by_candidate[t], out=dx[2, t])
+                drh = dx[2, t] @ vt
+                np.multiply(dh, by_z[t], out=dx[0, t])
+                np.multiply(drh, by_r[t], out=dx[1, t])
+                dh *= keep[t]
+                drh *= r[t]
+                dh += drh
+                back = np.matmul(dx[:2, t], ut)
+                dh += back[0]
+                dh += back[1]
+                dh *= ~starts[t][:, None]
+            dx = dx.reshape(3, -1, H)
+            grads["u"] = np.concatenate(np.matmul(old.reshape(-1, H).T, dx[:2]), 1)
+            grads["v"] = reset.reshape(-1, H).T @ dx[2]
+            used_rows, place = np.flatnonzero(np.bincount(given.reshape(-1))), np.empty(HEADS + SHAPES, np.int64)
+            place[used_rows] = np.arange(0, len(used_rows) * H, H)
+            place = (place[given.reshape(-1)][:, None] + np.arange(H)).reshape(-1)
+            grads["x"] = np.concatenate([np.bincount(place, d.reshape(-1), len(used_rows) * H).reshape(-1, H) for d in dx], 1).astype(np.float32)
             step += 1
             rate = top_rate * (1 - step / (total_steps + 1))
             norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))

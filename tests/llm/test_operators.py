@@ -212,6 +212,15 @@ def test_every_training_text_changes_the_weights(spark):
     assert not any(np.array_equal(weights(docs.filter(f"doc_id <> {i}")), whole) for i in range(8))
 
 
+def test_nothing_is_stepped_for_lanes_that_have_ended(monkeypatch):
+    net, seen, factored = lm.Network(np.arange(50, dtype=np.int64)), [], lm._factored
+    monkeypatch.setattr(lm, "_factored", lambda x: (seen.append(net.w["x"][lm.HEADS].copy()), factored(x))[1])  # once a step
+    texts = [(np.arange(k) % 50).astype(np.int16) for k in (6 * lm.WINDOW, 5)]
+    lm.train(net, texts, None, 2, 1)
+    # The first shape is the input where texts begin, all of it in the first step, and of a lane that has ended.
+    assert len(seen) == 6 and not np.array_equal(seen[0], seen[1]) and all(np.array_equal(x, seen[1]) for x in seen[2:])
+
+
 def test_states_are_carried():
     net = lm.Network(np.arange(10, dtype=np.int64))
     rng = np.random.default_rng(1)
