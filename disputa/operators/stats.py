@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,19 +100,112 @@ def draw(seed: int, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")
 
 
+#: Places that one task draws at a time, and values of a key that are gathered from at a time: fixed numbers, so what a task holds is bounded.
+DRAWN, BLOCK = 1 << 18, 1 << 16
+_SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_SINES = [int(abs(math.sin(i + 1)) * (1 << 32)) for i in range(64)]
+
+
+def _first_word(prefix: bytes, digits: np.ndarray) -> np.ndarray:
+    """The first four bytes of md5 of the prefix and a row of digits, for each row, as a big-endian number."""
+    rows, size = len(digits), len(prefix) + digits.shape[1]
+    if size > 55:  # more than one block of md5
+        return np.array([int.from_bytes(hashlib.md5(prefix + d.tobytes()).digest()[:4], "big") for d in digits], np.int64)
+    text = np.zeros((rows, 64), np.uint8)
+    text[:, : len(prefix)] = np.frombuffer(prefix, np.uint8)
+    text[:, len(prefix) : size] = digits
+    text[:, size], text[:, 56], text[:, 57] = 128, size * 8 & 255, size * 8 >> 8
+    words = [np.ascontiguousarray(w) for w in text.view("<u4").T]
+    begun = [np.uint32(x) for x in (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)]
+    a, b, c, d = (np.full(rows, x) for x in begun)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += words[g]
+        f += np.uint32(_SINES[i])
+        a, d, c, b = d, c, b, b + ((f << np.uint32(_SHIFTS[i])) | (f >> np.uint32(32 - _SHIFTS[i])))
+    return (a + begun[0]).byteswap().astype(np.int64)
+
+
+def draws(seed: int, replicate: int, first: int, n: int) -> np.ndarray:
+    """``draw`` of (replicate, place) for n places from the first on, without a row for each."""
+    prefix, out, at, end = f"{seed}:{replicate}:".encode(), [], first, first + n
+    while at < end:
+        size = len(str(at))
+        stop = min(end, at + 8192, 10**size)
+        k = np.arange(at, stop)
+        digits = np.stack([k // 10 ** (size - 1 - i) % 10 + 48 for i in range(size)], axis=1).astype(np.uint8)
+        out.append(_first_word(prefix, digits))
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def _drawn(units: DataFrame, seed: int) -> DataFrame:
+    """(block, key, b, drawn): offsets inside a block of values, as packed 2-byte numbers, of units (key, n, part, b) of ``DRAWN`` places. Units of one (part, b) that follow each other share the hashes."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, hashes = None, None
+        for frame in frames:
+            for key, n, part, b in zip(*(frame[c] for c in ("key", "n", "part", "b"))):
+                size = min(DRAWN, n - part * DRAWN)
+                if known != (part, b) or len(hashes) < size:
+                    known, hashes = (part, b), draws(seed, b, part * DRAWN, size)
+                at = np.sort(hashes[:size] % n)
+                blocks = at // BLOCK
+                cuts = np.flatnonzero(np.diff(blocks)) + 1
+                pieces = np.split((at % BLOCK).astype("<u2"), cuts)
+                yield pd.DataFrame({"block": blocks[np.concatenate([[0], cuts])], "key": key, "b": b, "drawn": [p.tobytes() for p in pieces]})
+
+    return units.mapInPandas(run, "block long, key string, b long, drawn binary")
+
+
+def _gathered(rows: DataFrame) -> DataFrame:
+    """(key, b, s, m): sums and numbers of the values that draws hit, of rows (block, key, b, drawn, v, gaps) where a block's values, with b -1 and the places of nulls, come before its draws."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        values = there = None
+        for frame in frames:
+            found = []
+            for key, b, drawn, v, gaps in zip(*(frame[c] for c in ("key", "b", "drawn", "v", "gaps"))):
+                if b < 0:
+                    values, there = np.asarray(v, float), np.ones(len(v), bool)
+                    there[np.asarray(gaps, np.int64)] = False
+                else:
+                    at = np.frombuffer(drawn, "<u2")
+                    found.append((key, b, values[at].sum(), int(there[at].sum())))
+            yield pd.DataFrame(found, columns=["key", "b", "s", "m"])
+
+    return rows.mapInPandas(run, "key string, b long, s double, m long")
+
+
 def bootstrap_ci(values: DataFrame, keys: list[str], value: str, order: str, replicates: int = 1000, alpha: float = 0.05, seed: int = 1) -> DataFrame:
     """(keys, low, high): percentile interval of the mean over resamples; draws are md5 of (seed, replicate, place).
 
-    Only values are replicated, as (replicate, place) rows of draws that join the numbered values.
+    Draws are made in tasks and sent, two bytes each, to the block of ``BLOCK`` values that they hit, which adds up what
+    is drawn; no draw is a row, and no table of values is broadcast. Rows with a null key are left out.
     """
-    placed = running(values.select(*keys, F.col(order).alias("_at"), F.col(value).alias("v"), F.lit(1).cast("long").alias("one")), keys, ["_at"], "one")
-    numbered = written(placed.select(*keys, "v", F.col("before").alias("i"), F.col("whole").alias("n")), "numbered")
-    places = numbered.select(*keys, F.col("i").alias("k"), "n").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    drawn = places.select(*keys, "b", F.pmod(draw(seed, F.col("b"), F.col("k")), F.col("n")).alias("i"))
-    means = drawn.join(numbered.select(*keys, "i", "v"), [*keys, "i"]).groupBy(*keys, "b").agg(F.round(F.avg("v"), 9).alias("m"))
-    ranked = means.withColumn("r", F.row_number().over(W.partitionBy(*keys).orderBy("m", "b")) - 1)
+    placed = running(values.select(*keys, F.col(order).alias("_at"), F.col(value).alias("v"), F.lit(1).cast("long").alias("one")).dropna(subset=keys), keys, ["_at"], "one")
+    key = F.to_json(F.struct(*keys)).alias("key")
+    numbered = written(placed.select(*keys, key, F.col("v").cast("double").alias("v"), F.col("before").alias("i"), F.col("whole").alias("n")), "numbered")
+    sizes = written(numbered.filter("i = 0").select(*keys, "key", "n"), "sizes")
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    units = sizes.select("key", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {DRAWN}"))).alias("part")).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(replicates - 1).cast("long"))))
+    units = units.repartition(parts, "part", "b").sortWithinPartitions("part", "b", F.desc("n"))
+    blocks = numbered.groupBy("key", F.expr(f"i div {BLOCK}").alias("block")).agg(F.sort_array(F.collect_list(F.struct("i", F.coalesce("v", F.lit(0.0)).alias("v")))).getField("v").alias("v"), F.collect_list(F.when(F.col("v").isNull(), F.col("i") % BLOCK)).alias("gaps"))
+    hits = blocks.select("block", "key", F.lit(-1).cast("long").alias("b"), F.lit(None).cast("binary").alias("drawn"), "v", "gaps").unionByName(_drawn(units, seed), allowMissingColumns=True)
+    sums = _gathered(hits.repartition(parts, "key", "block").sortWithinPartitions("key", "block", "b"))
+    means = sums.groupBy("key", "b").agg(F.round(F.when(F.sum("m") > 0, F.sum("s") / F.sum("m")), 9).alias("m"))
+    ranked = means.withColumn("r", F.row_number().over(W.partitionBy("key").orderBy(F.asc_nulls_last("m"), "b")) - 1)
     low, high = int(alpha / 2 * replicates), int((1 - alpha / 2) * replicates) - 1
-    return ranked.groupBy(*keys).agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high"))
+    ends = ranked.groupBy("key").agg(F.max(F.when(F.col("r") == low, F.col("m"))).alias("low"), F.max(F.when(F.col("r") == high, F.col("m"))).alias("high"))
+    return sizes.join(ends, "key").select(*keys, "low", "high")
 
 
 def compare_all(values: DataFrame, unit: str, condition: str, metric: str, value: str, replicates: int = 500) -> DataFrame:
