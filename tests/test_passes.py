@@ -19,3 +19,16 @@ def test_tables_of_one_shape_are_assigned_together_as_each_alone():
     tables = [(rng.integers(0, 4, (n, m)) / 4, np.full(n, 1.0), np.full(m, 1.4)) for n, m in rng.integers(0, 6, (300, 2))]
     for one, together in zip((assign.bipartite_match(*t) for t in tables), assign.bipartite_matches(tables)):
         assert one.tolist() == together.tolist()
+
+
+def test_replicates_are_fitted_in_step_without_a_group_for_each(spark):
+    rows, warm = _judged(), calibrate.start(3)
+    draws = calibrate.cluster_draws(spark.createDataFrame(rows[["source_id"]].drop_duplicates()), 3)
+    got = calibrate.bootstrap_fits(spark.createDataFrame(rows), draws, 3, warm)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    times = draws.toPandas().groupby(["rep", "source_id"]).size().rename("weight").astype(float).reset_index()
+    found = {(r["rep"], r["param"]): r["value"] for r in got.collect()}
+    assert len(found) == 33
+    for rep, own in times.groupby("rep"):
+        want = calibrate.costs(calibrate.fit(rows.merge(own, on="source_id"), 3, warm))
+        assert [found[rep, p] for p in calibrate.vocab.PARAMETERS] == pytest.approx(want.tolist(), abs=1e-9)
