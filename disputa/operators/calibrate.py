@@ -12,7 +12,6 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from disputa.functions import vocab
@@ -483,17 +482,24 @@ def bootstrap_fits(rows: DataFrame, draws: DataFrame, judges: int, warm: np.ndar
 
 
 def cross_validated(rows: DataFrame, judges: int, folds: int = 5, seed: int = 13) -> DataFrame:
-    """(triplet_id, delta) of triplets left out of the fit; folds deal sources by the order of their draws."""
-    fold = rows.select("source_id").distinct().withColumn("fold", F.pmod(F.row_number().over(W.orderBy(draw(seed, F.col("source_id")), "source_id")) - 1, F.lit(folds)))
-    dealt = weighted(rows, "source_id", "triplet_id").join(fold, "source_id").select("*", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("out"))
+    """(triplet_id, delta) of triplets left out of the fit; folds deal sources by the order of their draws. Folds are fitted in step by passes over the table, so no task holds a fold."""
+    sources = rows.select("source_id").distinct().withColumn("h", draw(seed, F.col("source_id")))
+    dealt = written(rows.join(_numbered(sources, "h", "source_id").select("source_id", F.pmod("i", F.lit(folds)).cast("int").alias("fold")), "source_id"), "dealt")
+    table = written(weighted(dealt, "fold"), "folds")
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = fit(frame[frame["fold"] != frame["out"]], judges)
-        left = frame[frame["fold"] == frame["out"]].drop_duplicates("triplet_id")
-        delta = left[[f"d{i}" for i in range(N)]].to_numpy(float) @ costs(x) + left["extra"].to_numpy() + x[N] * left["neg"].to_numpy()
-        return pd.DataFrame({"triplet_id": left["triplet_id"], "delta": delta})
-
-    return dealt.groupBy("out").applyInPandas(run, "triplet_id long, delta double")
+    def lanes(frame: pd.DataFrame, wanted: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        for lane in wanted:
+            at = np.flatnonzero(frame["fold"].to_numpy() != lane)
+            yield lane, at, frame["weight"].to_numpy()[at]
+
+    found = newton_many(lambda points: summed_lanes(table, judges, points, lanes), {fold: start(judges) for fold in range(folds)})
+    delta = F.lit(None).cast("double")
+    for fold, (x, _) in found.items():
+        own = F.col("extra") + F.lit(float(x[N])) * F.col("neg")
+        for i, value in enumerate(costs(x)):
+            own = own + F.lit(float(value)) * F.col(f"d{i}")
+        delta = F.when(F.col("fold") == fold, own).otherwise(delta)
+    return dealt.dropDuplicates(["triplet_id"]).select("triplet_id", delta.alias("delta"))
 
 
 def profile(rows: DataFrame, x: np.ndarray, judges: int, points: int = 61, most: float = 3.0) -> DataFrame:

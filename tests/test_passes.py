@@ -32,3 +32,9 @@ def test_replicates_are_fitted_in_step_without_a_group_for_each(spark):
     for rep, own in times.groupby("rep"):
         want = calibrate.costs(calibrate.fit(rows.merge(own, on="source_id"), 3, warm))
         assert [found[rep, p] for p in calibrate.vocab.PARAMETERS] == pytest.approx(want.tolist(), abs=1e-9)
+
+
+def test_folds_are_fitted_in_step_without_a_group_for_each(spark):
+    got = calibrate.cross_validated(spark.createDataFrame(_judged()), 3, folds=3)
+    assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["triplet_id"] for r in got.collect()) == list(range(120))
