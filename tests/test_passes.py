@@ -38,3 +38,14 @@ def test_folds_are_fitted_in_step_without_a_group_for_each(spark):
     got = calibrate.cross_validated(spark.createDataFrame(_judged()), 3, folds=3)
     assert "FlatMapGroups" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(r["triplet_id"] for r in got.collect()) == list(range(120))
+
+
+def test_profile_without_derivatives_is_the_objective(spark):
+    rows, x = _judged(), calibrate.start(3) + np.random.default_rng(2).normal(size=21) * 0.2
+    z, t = np.linspace(-40, 40, 90), np.full(90, 0.3)
+    assert np.isfinite(calibrate.log_likelihoods(z, t, np.arange(90) % 3)).all()
+    got = calibrate.profile(calibrate.weighted(spark.createDataFrame(rows)), x, 3, points=4).collect()
+    for r in got:
+        at = x.copy()
+        at[calibrate.vocab.PARAMETERS.index(r["param"])] = np.log(np.expm1(max(r["value"], 1e-6)))
+        assert r["nll"] == pytest.approx(calibrate.objective(at, *calibrate._arguments(rows), 3)[0], abs=1e-8)
